@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from kindred.llm import mixing, sharding, warc
 from kindred.llm.common import Query
+from kindred.session import shipped
 
 
 def queries() -> dict[str, Query]:
-    return {
+    found = {
         "op4_minimax_shards": sharding.op4_minimax_shards,
         "op7_mix": mixing.op7_mix,
         "op8_warc": warc.op8_warc,
     }
+    return {name: shipped(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

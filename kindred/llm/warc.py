@@ -102,7 +102,7 @@ class Roll:
     def add(self, data: bytes) -> None:
         if self.out is None:
             self.temporary = f"{self.folder}/.{self.stem}-{self.n:05d}.{uuid.uuid4().hex}.open"
-            self.out, self.bytes, self.records = self.store.open_output_stream(self.temporary), 0, 0
+            self.out, self.bytes, self.records = self.store.open_output_stream(self.temporary, compression=None), 0, 0
         self.out.write(data)
         self.bytes, self.records = self.bytes + len(data), self.records + 1
         if self.bytes >= self.limit:
@@ -225,7 +225,7 @@ def read_archives(manifest: DataFrame, folder: str, with_html: bool = True) -> D
         held = 0
         for batch in batches:
             for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with store.open_input_stream(f"{root}/{name}") as stream:
+                with store.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     for offset, length, data in members(stream, size):
                         rows.append((*parsed(data, with_html), name, offset, length))
                         held += len(data) if with_html else 200
