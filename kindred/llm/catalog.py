@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from kindred.llm import mixing, sharding, warc
+from kindred.llm import minhash, mixing, sharding, warc
 from kindred.llm.common import Query
 from kindred.session import shipped
 
 
 def queries() -> dict[str, Query]:
     found = {
+        "op2_near_dedup": minhash.op2_near_dedup,
         "op4_minimax_shards": sharding.op4_minimax_shards,
         "op7_mix": mixing.op7_mix,
         "op8_warc": warc.op8_warc,
