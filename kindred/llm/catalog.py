@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.llm import minhash, mixing, sharding, warc
+from kindred.llm import minhash, mixing, packing, sharding, warc
 from kindred.llm.common import Query
 from kindred.session import shipped
 
@@ -10,6 +10,7 @@ from kindred.session import shipped
 def queries() -> dict[str, Query]:
     found = {
         "op2_near_dedup": minhash.op2_near_dedup,
+        "op3_pack": packing.op3_pack,
         "op4_minimax_shards": sharding.op4_minimax_shards,
         "op7_mix": mixing.op7_mix,
         "op8_warc": warc.op8_warc,
