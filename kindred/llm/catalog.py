@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.llm import minhash, mixing, packing, sharding, warc
+from kindred.llm import minhash, mixing, packing, quality, sharding, warc
 from kindred.llm.common import Query
 from kindred.session import shipped
 
@@ -14,6 +14,7 @@ def queries() -> dict[str, Query]:
         "op4_minimax_shards": sharding.op4_minimax_shards,
         "op7_mix": mixing.op7_mix,
         "op8_warc": warc.op8_warc,
+        "op10_ordinal_quality": quality.op10_ordinal_quality,
     }
     return {name: shipped(query) for name, query in found.items()}
 
