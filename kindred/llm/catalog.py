@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kindred.llm import licenses, minhash, mixing, packing, quality, sharding, syncmers, warc
+from kindred.llm import licenses, media, minhash, mixing, packing, quality, sharding, syncmers, warc
 from kindred.llm.common import Query
 from kindred.session import shipped
 
@@ -12,6 +12,7 @@ def queries() -> dict[str, Query]:
         "op2_near_dedup": minhash.op2_near_dedup,
         "op3_pack": packing.op3_pack,
         "op4_minimax_shards": sharding.op4_minimax_shards,
+        "op5_media": media.op5_media,
         "op6_syncmers": syncmers.op6_syncmers,
         "op7_mix": mixing.op7_mix,
         "op8_warc": warc.op8_warc,
