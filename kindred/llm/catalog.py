@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from kindred.llm import licenses, media, minhash, mixing, packing, quality, sharding, syncmers, warc
+from kindred.llm import chat, licenses, media, minhash, mixing, packing, quality, sharding, syncmers, warc
 from kindred.llm.common import Query
 from kindred.session import shipped
 
 
 def queries() -> dict[str, Query]:
     found = {
+        "op1_chat_link": chat.op1_chat_link,
         "op2_near_dedup": minhash.op2_near_dedup,
         "op3_pack": packing.op3_pack,
         "op4_minimax_shards": sharding.op4_minimax_shards,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mix": mixing.OP7_SQL, "op8_warc": warc.OP8_SQL}
+    return {"op1_chat_link": chat.OP1_SQL, "op7_mix": mixing.OP7_SQL, "op8_warc": warc.OP8_SQL}
