@@ -134,8 +134,8 @@ def prefix_keys(name: Column) -> Column:
     """Prefixes of 3, 4 and 5 characters of the first word, of 4 and 5 of every word, and 5 of the first two joined; a prefix needs as many characters."""
     words = F.filter(F.split(name, " "), lambda w: w != "")
     first, second = F.get(words, F.lit(0)), F.get(words, F.lit(1))
-    cut = lambda w, n: F.when(F.length(w) >= n, prefix(w, n))
-    keys = [F.array(*[cut(first, n) for n in (3, 4, 5)]), *[F.transform(words, lambda w, n=n: cut(w, n)) for n in (4, 5)], F.array(cut(F.concat(first, second), 5))]
+    cut = lambda n: lambda w: F.when(F.length(w) >= n, prefix(w, n))
+    keys = [F.array(*[cut(n)(first) for n in (3, 4, 5)]), *[F.transform(words, cut(n)) for n in (4, 5)], F.array(cut(5)(F.concat(first, second)))]
     return F.array_distinct(F.array_compact(F.concat(*keys)))
 
 

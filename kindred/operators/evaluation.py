@@ -92,7 +92,7 @@ def record_recall(truth: DataFrame, pairs: DataFrame, sample: DataFrame | None =
     The denominator of that share is the records with a match, or all of ``sample`` if it is given.
     """
     rows = per_record(truth, pairs).withColumn("recall", F.col("found") / F.col("truths"))
-    sums = rows.agg(F.count("*").alias("with_match"), F.round(F.avg("recall"), 9).alias("mean"), F.median("recall").alias("median"), F.min("recall").alias("least"), F.count_if("found > 0").alias("some_found"), F.count_if("found = truths").alias("all_found"))
+    sums = rows.agg(F.count("*").alias("with_match"), F.round(F.avg("recall"), 9).alias("mean"), F.median("recall").alias("median"), F.min("recall").alias("least"), F.count_if(F.expr("found > 0")).alias("some_found"), F.count_if(F.expr("found = truths")).alias("all_found"))
     if sample is not None:
         sums = sums.crossJoin(sample.agg(F.count("*").alias("records")))  # one row each
         return sums.select("*", F.round(ratio(F.col("all_found"), F.col("records")), 9).alias("all_found_ratio"))
@@ -181,5 +181,5 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
 
 def class_ratio(rows: DataFrame) -> DataFrame:
     """Negatives, positives and their ratio."""
-    sums = rows.agg(F.count_if("label = 0").alias("negatives"), F.count_if("label = 1").alias("positives"))
+    sums = rows.agg(F.count_if(F.expr("label = 0")).alias("negatives"), F.count_if(F.expr("label = 1")).alias("positives"))
     return sums.select("*", F.round(ratio(F.col("negatives"), F.col("positives")), 9).alias("ratio"))

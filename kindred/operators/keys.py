@@ -92,7 +92,14 @@ def name_keys(cut: int | None = None) -> dict[str, Column]:
 
 
 def ascii_keys(cut: int | None = None) -> dict[str, Column]:
-    return {"aa": _ends(tokens.tokens(text.ascii_normalize(F.col("name"))), cut)}
+    return {"aa": _ends(tokens.tokens(F.col("plain")), cut)}
+
+
+def spelled(records: DataFrame, config: Blocking) -> DataFrame:
+    """Adds plain (N2) and spelled (N3-N5) of the name, for the signals that use them: columns, since lambdas can't call Python."""
+    ascii_as = {"v1": "always", "v3": "nothing"}.get(config.generation, "itself")
+    plain = text.ascii_normalize(F.col("name")) if "aa" in config.signals else F.lit("")
+    return records.withColumn("plain", plain).withColumn("spelled", text.transliterate(F.col("name"), ascii_as) if "nt" in config.signals else F.lit(""))
 
 
 def _hashed(grams: Column, n: int) -> Column:
@@ -123,12 +130,11 @@ def keys_v3(words: Column, nums: Column) -> dict[str, Column]:
     addr, name = F.col("addr"), F.col("name")
     strong = tokens.longest(words, 5)
     compact = F.length(F.replace(addr, F.lit(" "), F.lit("")))
-    spelled = text.transliterate(name, "nothing")
     return {
         **name_keys(5),
         **ascii_keys(5),
         "ng": _hashed(tokens.char_ngrams(name, 3), 8),
-        "nt": _hashed(tokens.char_ngrams(spelled, 3), 6),
+        "nt": _hashed(tokens.char_ngrams(F.col("spelled"), 3), 6),
         "ap": tokens.pairs(strong),
         "an": tokens.crossed(F.slice(nums, 1, 3), F.slice(words, 1, 3)),
         "pc": tokens.postal_codes(addr),
@@ -140,12 +146,12 @@ def keys_v3(words: Column, nums: Column) -> dict[str, Column]:
 def keys_v1(words: Column, nums: Column) -> dict[str, Column]:
     """All signals of v1; words and nums are its sorted distinct tokens and numbers (after the vocabulary)."""
     name = F.col("name")
-    spelled = F.array_join(text.without(tokens.tokens(text.transliterate(name, "always")), text.LEGAL_SUFFIXES), " ")
+    clean = F.array_join(text.without(tokens.tokens(F.col("spelled")), text.LEGAL_SUFFIXES), " ")
     useful, some = F.slice(words, 1, 4), F.slice(nums, 1, 2)
     return {
         **name_keys(),
         **ascii_keys(),
-        "nt": _one(F.length(spelled) > 0, spelled),
+        "nt": _one(F.length(clean) > 0, clean),
         "ng": _hashed(tokens.char_ngrams(name, 4), 4),
         "ap": tokens.pairs(useful),
         "an": tokens.crossed(some, useful),
@@ -269,14 +275,14 @@ def keys_multi(records: DataFrame, known: DataFrame) -> tuple[DataFrame, dict[st
 
 def primary_keys(records: DataFrame, config: Blocking = V4, known: DataFrame | None = None) -> DataFrame:
     """Keys of the primary records (source 1), already prepared."""
+    records = spelled(records, config)
     if config.generation == "v4":
         payloads = {**name_keys(), **ascii_keys(), **{k: v for k, v in address_keys_4().items() if k != "ar"}}
         grams = gram_frequencies(records)
         rare = rare_grams(records, grams).select("entity_id", "country", F.lit("ng").alias("sig"), F.col("gram").alias("payload"))
         found = rare.unionByName(rare_tokens(records, token_frequencies(records)).select("entity_id", "country", F.lit("ar").alias("sig"), F.col("token").alias("payload")))
         if "nt" in config.signals:
-            spelled = records.withColumn("spelled", text.transliterate(F.col("name")))
-            found = found.unionByName(rare_grams(spelled, grams, F.col("spelled")).select("entity_id", "country", F.lit("nt").alias("sig"), F.col("gram").alias("payload")))
+            found = found.unionByName(rare_grams(records, grams, F.col("spelled")).select("entity_id", "country", F.lit("nt").alias("sig"), F.col("gram").alias("payload")))
         found = hashed(found.where(F.col("sig").isin(*config.signals)), config)
         return keyed(records, payloads, config).unionByName(found)
     if config.generation == "multi":
@@ -289,11 +295,12 @@ def primary_keys(records: DataFrame, config: Blocking = V4, known: DataFrame | N
 
 def target_keys(records: DataFrame, config: Blocking = V4, known: DataFrame | None = None) -> DataFrame:
     """Keys of the secondary records (sources 2 and 3), already prepared."""
+    records = spelled(records, config)
     if config.generation == "v4":
         grams = lambda c: F.array_distinct(tokens.char_ngrams(c, 3))
         payloads = {**name_keys(), **ascii_keys(), **address_keys_4(), "ng": grams(F.col("name"))}
         if "nt" in config.signals:
-            payloads["nt"] = grams(text.transliterate(F.col("name")))
+            payloads["nt"] = grams(F.col("spelled"))
         return keyed(records, payloads, config)
     if config.generation == "multi":
         rows, payloads = keys_multi(records, known)
