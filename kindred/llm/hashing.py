@@ -75,4 +75,4 @@ def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
     total = np.zeros(n, U)
     for i in range(width):
         total = total * BASE + words[i : i + n]
-    return mix(total + U(width) * GOLD)
+    return mix(total + U(width * int(GOLD) % (1 << 64)))

@@ -10,9 +10,12 @@ probability of their weighted Jaccard similarity.
 
 Signatures are cut into bands; texts that share a band are candidates. Within a bucket each text is
 checked against one member drawn by hash (another in every band), which ties large groups together
-with a number of pairs linear in the group. Then only texts of one bucket that are still in
-different components are compared, all of them, except within a bucket's largest component. So no
-link between components is lost, and a group of copies costs no square of its size.
+with a number of pairs linear in the group. What can still be missing are links between texts of one
+bucket that are in different components. In buckets of a few texts these are compared directly. In
+larger ones all texts are written as differences from one hub, the text with most links: two texts
+are similar enough only if their differences share so much that one of the rarest shared elements
+lies at the beginning of both, in an order by rarity (``across``). That leaves out no link, and a
+group of variants that are all alike, but not alike enough, costs no square of its size.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.llm.common import materialize, table, text_or_empty
@@ -31,6 +34,10 @@ from kindred.llm.hashing import GOLD, U, groups, mix, shingles, word_hashes
 
 COORDINATES, ROWS = 120, 5
 WORDS, SIMILAR = 5, 0.8
+#: Buckets of up to so many texts are compared directly.
+DIRECT = 16
+#: Weights are kept as single-precision numbers; this much is allowed for their rounding.
+SLACK = 1e-3
 #: Tables of ids are broadcast up to so many rows; beyond, they are joined by shuffling.
 SMALL = 500_000
 
@@ -168,17 +175,86 @@ def by_id(left: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame
     return left.join(F.broadcast(ids) if ids.count() <= SMALL else ids, on, how)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts are similar enough. places: node, first (a doc_id with that text)."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(places, "node")
-    wanted = materialize(wanted.select("node", F.coalesce("first", F.lit(-1)).alias("key")), "wanted")
+def shingle_sets(nodes: DataFrame, docs: DataFrame, places: DataFrame, words: int) -> DataFrame:
+    """node, keys, weights of the given nodes. places: node, first (a doc_id with that text)."""
+    wanted = materialize(nodes.distinct().join(places, "node").select("node", F.coalesce("first", F.lit(-1)).alias("key")), "wanted")
     found = by_id(docs.select(F.coalesce("doc_id", F.lit(-1)).alias("key"), node_of(F.col("text")).alias("node"), "text"), wanted, ["key", "node"], "left_semi")
-    sets = materialize(found.select("node", "text").mapInArrow(_packer(words), "node long, keys binary, weights binary").dropDuplicates(["node"]), "shingles")
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("keys").alias(f"k{x}"), F.col("weights").alias(f"w{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ka", "wa", "kb", "wb")
+    return materialize(found.select("node", "text").mapInArrow(_packer(words), "node long, keys binary, weights binary").dropDuplicates(["node"]), "shingles")
+
+
+def with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
+    """The pairs with ka, wa, kb, wb: both sides' shingles."""
+    side = lambda x, n: sets.select(F.col("node").alias(x), F.col("keys").alias(f"k{n}"), F.col("weights").alias(f"w{n}"))
+    return pairs.join(side(a, "a"), a).join(side(b, "b"), b)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts are similar enough."""
+    sets = shingle_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs, places, words)
+    both = with_sets(pairs, sets, "a", "b").select("a", "b", "ka", "wa", "kb", "wb")
     return materialize(both.mapInArrow(_checker(least), "a long, b long"), "verified")
 
 
+def difference(a: Weighted, b: Weighted) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and amounts of what a has more or less of than b; an id tells the shingle and the direction."""
+    keys = np.union1d(a[0], b[0])
+    amount = np.zeros(len(keys))
+    amount[np.searchsorted(keys, a[0])] += a[1]
+    amount[np.searchsorted(keys, b[0])] -= b[1]
+    kept = np.abs(amount) > 1e-6
+    return mix(keys[kept] + (amount[kept] > 0).astype(U) * GOLD).view(np.int64), np.abs(amount[kept])
+
+
+def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hub, node, component, top, kb, wb of the hub, ka, wa) -> the node's difference from the hub, with both sums."""
+    lists = lambda parts, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts) if parts else [], kind))
+    for batch in batches:
+        weight, size, ids, amounts = [], [], [], []
+        for i in range(batch.num_rows):
+            a, b = ((np.frombuffer(batch.column(c)[i].as_buffer(), U), np.frombuffer(batch.column(c + 1)[i].as_buffer(), np.float32).astype(np.float64)) for c in (4, 6))
+            found, amount = difference(a, b)
+            weight.append(float(a[1].sum()))
+            size.append(float(amount.sum()))
+            ids.append(found)
+            amounts.append(amount)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(weight, pa.float64()), pa.array(size, pa.float64()), lists(ids, pa.int64()), lists(amounts, pa.float64())], names=["hub", "node", "component", "top", "weight", "size", "ids", "amounts"])
+
+
+def across(members: DataFrame, docs: DataFrame, places: DataFrame, words: int, least: float) -> DataFrame:
+    """Pairs (a, b) of one hub's members, of different components, that may be similar enough.
+
+    members: hub, node, component, top (whether in the hub's component). Let D be the summed
+    absolute difference of two texts x and y with weights W, and d their differences from the hub,
+    which sum to S. Similarity t or more means D <= m = (1 - t) / (1 + t) (Wx + Wy). The shared part of
+    dx and dy is (Sx + Sy - D) / 2 >= (Sx + Sy - m) / 2. If it isn't empty, its first element, in any
+    order common to all members, has at most Sx - (Sx + Sy - m) / 2 = (Sx - Sy + m) / 2 of dx before it, and
+    likewise for y. An empty one would need Sx + Sy <= m, while Sx > m for a text x that isn't similar
+    to the hub; x is checked against the hub itself. As Wy <= Wx / t, no text needs more than the
+    first m' = (1 - t) / (1 + t) (1 + 1 / t) Wx of its elements.
+    """
+    share = (1 - least) / (1 + least)
+    sets = shingle_sets(members.select("node").union(members.select("hub")), docs, places, words)
+    rows = with_sets(members, sets, "node", "hub").select("hub", "node", "component", "top", "ka", "wa", "kb", "wb")
+    differ = materialize(rows.mapInArrow(_differ, "hub long, node long, component long, top boolean, weight double, size double, ids array<long>, amounts array<double>"), "differences")
+    each = differ.select("hub", "node", "component", "top", "weight", "size", F.explode(F.arrays_zip("ids", "amounts")).alias("e"))
+    each = each.select("hub", "node", "component", "top", "weight", "size", F.col("e.ids").alias("id"), F.col("e.amounts").alias("amount"))
+    held = each.groupBy("hub", "id").agg(F.count("*").alias("held"))
+    before = Window.partitionBy("hub", "node").orderBy("held", "id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = each.join(held, ["hub", "id"]).withColumn("before", F.coalesce(F.sum("amount").over(before), F.lit(0.0)))
+    # what a single text holds counts in the sums, but meets nothing
+    placed = placed.where((F.col("held") > 1) & (F.col("before") <= F.col("weight") * (share * (1 + 1 / least) + SLACK))).drop("amount", "held")
+    placed = materialize(placed, "beginnings")
+    x, y = placed.where("NOT top").alias("x"), placed.alias("y")
+    most = share * (F.col("x.weight") + F.col("y.weight")) * (1 + SLACK) + SLACK
+    lead = F.col("x.size") - F.col("y.size")
+    meets = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.id") == F.col("y.id")) & (F.col("y.top") | (F.col("x.component") < F.col("y.component")))
+    return x.join(y, meets & (2 * F.col("x.before") <= lead + most) & (2 * F.col("y.before") <= most - lead)).select(*ordered("x.node", "y.node")).distinct()
+
+
+def ordered(x: str, y: str) -> tuple[Column, Column]:
+    return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+
 def classes(docs: DataFrame, k: int = COORDINATES, rows: int = ROWS, words: int = WORDS, least: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, node, component, class_id for each row; class_id is the smallest doc_id of the row's class.
 
@@ -196,23 +272,30 @@ def classes(docs: DataFrame, k: int = COORDINATES, rows: int = ROWS, words: int
     shared = banded.groupBy("band").agg(F.min(F.xxhash64("node", "band")).alias("h"), F.count("*").alias("n")).where("n > 1")
     members = materialize(banded.join(shared, "band").select("band", "node", "h"), "buckets")
     reps = members.where(F.xxhash64("node", "band") == F.col("h")).select("band", F.col("node").alias("rep"))
-    order = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    first = materialize(members.join(reps, "band").where("node <> rep").select(*order("node", "rep")).distinct(), "pairs")
+    first = materialize(members.join(reps, "band").where("node <> rep").select(*ordered("node", "rep")).distinct(), "pairs")
     links = verified(first, docs, places, words, least)
     tied = materialize(components(links), "components")
 
-    # texts of one bucket in different components: all pairs but those within its largest component
+    # texts of one bucket in different components
     parts = members.select("band", "node").join(tied, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     parts = materialize(parts, "parts")
     sizes = parts.groupBy("band", "component").count()
-    open_bands = sizes.groupBy("band").agg(F.count("*").alias("n"), F.max(F.struct("count", "component")).alias("top")).where("n > 1").select("band", F.col("top.component").alias("top"))
+    top = F.max(F.struct("count", "component"))["component"]
+    open_bands = sizes.groupBy("band").agg(F.count("*").alias("n"), top.alias("top"), F.sum("count").alias("members")).where("n > 1").drop("n")
     parts = materialize(parts.join(open_bands, "band"), "open-buckets")
-    left = parts.where("component <> top").select("band", F.col("node").alias("x"), F.col("component").alias("cx"))
-    right = parts.select("band", F.col("node").alias("y"), F.col("component").alias("cy"), "top")
-    across = left.join(right, "band").where("(cy = top) OR (cx < cy)").select(*order("x", "y")).distinct()
-    across = materialize(across.join(first, ["a", "b"], "left_anti"), "pairs")
-    more = verified(across, docs, places, words, least)
-    tied = materialize(components(links.union(more)), "components")
+    small = parts.where(F.col("members") <= DIRECT)
+    left = small.where("component <> top").select("band", F.col("node").alias("x"), F.col("component").alias("cx"))
+    right = small.select("band", F.col("node").alias("y"), F.col("component").alias("cy"), "top")
+    more = left.join(right, "band").where("(cy = top) OR (cx < cy)").select(*ordered("x", "y"))
+    large = parts.where(F.col("members") > DIRECT).select("node", "component", "top").distinct()
+    if large.limit(1).count():
+        ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n"))
+        hubs = ends.join(tied, "node").groupBy(F.col("component").alias("top")).agg(F.max(F.struct("n", "node"))["node"].alias("hub"))
+        large = large.join(hubs, "top", "left").select(F.coalesce("hub", "top").alias("hub"), "node", "component", (F.col("component") == F.col("top")).alias("top"))
+        large = materialize(large.where("node <> hub"), "large-buckets")
+        more = more.union(large.where("NOT top").select(*ordered("node", "hub"))).union(across(large, docs, places, words, least))
+    more = materialize(more.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    tied = materialize(components(links.union(verified(more, docs, places, words, least))), "components")
 
     named = places.join(tied, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     of_class = named.groupBy("component").agg(F.min("first").alias("class_id"))
