@@ -71,7 +71,7 @@ def darts(elements: list[Weighted], upto: np.ndarray, k: int) -> tuple[np.ndarra
     owner, seed, room = owner[of], mix(keys[of] + floor.astype(U) * GOLD), weights[of] - floor
     rank, throw, found = np.zeros(len(seed)), 0, []
     while len(seed):
-        dart = mix(seed + U(throw + 1) * GOLD)
+        dart = mix(seed + U((throw + 1) * int(GOLD) % (1 << 64)))
         even = (dart >> U(11)).astype(np.float64) * 2.0**-53
         near = np.flatnonzero(even < -np.expm1(rank - upto[owner]))
         owner, seed, room, dart = owner[near], seed[near], room[near], dart[near]
@@ -310,11 +310,11 @@ def deduplicated(docs: DataFrame, **how) -> DataFrame:
     first = counted.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
     keep = materialize(first.groupBy("component", "class_id").agg(F.min(F.struct("node", "n")).alias("k")).select("class_id", "k.*"), "kept")
     key, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), text_or_empty()
-    rows = docs.withColumn("_key", key).withColumn("_node", node_of(text))
-    ids = keep.select(F.coalesce("class_id", F.lit(-1)).alias("_key"), F.col("node").alias("_node"))
-    kept = rows.join(F.broadcast(ids) if ids.count() <= SMALL else ids, ["_key", "_node"], "left_semi")
+    rows = docs.withColumn("_kindred_key", key).withColumn("_kindred_node", node_of(text))
+    ids = keep.select(F.coalesce("class_id", F.lit(-1)).alias("_kindred_key"), F.col("node").alias("_kindred_node"))
+    kept = rows.join(F.broadcast(ids) if ids.count() <= SMALL else ids, ["_kindred_key", "_kindred_node"], "left_semi")
     if keep.where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["_key", "_node"])
+        kept = kept.dropDuplicates(["_kindred_key", "_kindred_node"])
     return kept.select(*docs.columns)
 
 

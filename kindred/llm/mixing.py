@@ -4,6 +4,8 @@ A row's place is a hash of its id and size, read as hexadecimal digits. Words ar
 and the first three digits; the running sums of these histograms tell in which bucket a source's
 budget ends. Only that bucket is counted again by the next three digits. What lies below the
 threshold found is taken: no rows are sorted, and the histograms are at most 4096 rows a source.
+What is then missing to the budget, less than the rows of one bucket have, is filled with the one
+row above the threshold whose size comes nearest.
 """
 
 from __future__ import annotations
@@ -29,7 +31,18 @@ def word_count(text: Column) -> Column:
 
 
 def place_of(key: Column, size: Column) -> Column:
-    return F.substring(F.md5(F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), size.cast("string"))), 1, 2 * DIGITS)
+    return F.md5(F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), size.cast("string")))
+
+
+def short(place: str = "place") -> Column:
+    """The digits that the histograms see."""
+    return F.substring(place, 1, 2 * DIGITS)
+
+
+def times_of() -> Column:
+    """How often a row is taken."""
+    more = (short() < F.col("below")) | ((short() == F.col("below")) & F.col("at")) | (F.col("place") == F.col("extra"))
+    return F.col("repeats") + F.when(more, 1).otherwise(0)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -59,7 +72,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def thresholds(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """source, source_size, target, repeats, below, at: a row gives its size ``repeats`` times, and once more if its place is below ``below``, or equal to it where ``at`` holds."""
+    """source, source_size, target, repeats, below, at, extra: a row is taken ``repeats`` times, and once more if its place begins below ``below``, or with it where ``at`` holds, or is ``extra``."""
     first = rows.groupBy("source", F.substring("place", 1, DIGITS).alias("bucket")).agg(F.sum("size").alias("words"))
     first = materialize(first, "mix-histogram")
     goal = targets(first.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
@@ -79,9 +92,14 @@ def thresholds(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     inside = with_small(rows, edge).where(F.substring("place", 1, DIGITS) == F.col("edge"))
     second = inside.groupBy("source", "edge", F.substring("place", DIGITS + 1, DIGITS).alias("bucket"), "edge_before", "budget").agg(F.sum("size").alias("words"))
     fine = ending(second.withColumn("rest", F.col("budget") - F.col("edge_before")), "rest")
-    fine = fine.select("source", F.concat("edge", "bucket").alias("below"), (F.col("sum") - F.col("rest") <= F.col("rest") - F.col("before")).alias("at"))
-    out = goal.alias("g").join(fine.alias("h"), same, "left")
-    return out.select("g.source", "g.source_size", "g.target", "g.repeats", F.coalesce("h.below", F.lit("")).alias("below"), F.coalesce("h.at", F.lit(False)).alias("at"))
+    fine = fine.select("source", F.concat("edge", "bucket").alias("below"), (F.col("sum") <= F.col("rest")).alias("at"), (F.col("rest") - F.col("before")).alias("gap"))
+    fine = materialize(fine, "mix-fine")
+    above = with_small(rows, fine.where("NOT at").select("source", "below", "gap")).where(short() >= F.col("below"))
+    nearest = F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "place"))
+    filled = above.groupBy("source", "gap").agg(nearest.alias("n")).where(F.col("n.off") < F.col("gap")).select("source", F.col("n.place").alias("extra"))
+    out = goal.alias("g").join(fine.alias("h"), same, "left").join(filled.alias("f"), F.col("f.source").eqNullSafe(F.col("g.source")), "left")
+    out = out.select("g.source", "g.source_size", "g.target", "g.repeats", F.coalesce("h.below", F.lit("")).alias("below"), F.coalesce("h.at", F.lit(False)).alias("at"), F.coalesce("f.extra", F.lit("")).alias("extra"))
+    return materialize(out, "mix-thresholds")
 
 
 def with_small(rows: DataFrame, by_source: DataFrame) -> DataFrame:
@@ -109,19 +127,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, i
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     rows = materialize(rows.withColumn("place", place_of(F.col("doc_id"), F.col("size"))), "mix-rows")
     taken = with_small(rows, thresholds(rows, weights, most))
-    more = (F.col("place") < F.col("below")) | ((F.col("place") == F.col("below")) & F.col("at"))
-    taken = taken.withColumn("times", (F.col("repeats") + F.when(more, 1).otherwise(0)).cast("long"))
+    taken = taken.withColumn("times", times_of().cast("long"))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", "source", "place")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it."""
-    rows = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size")).withColumn("place", place_of(F.col("doc_id"), F.col("size")))
-    rows = materialize(rows, "mix-rows")
-    full = with_small(docs.withColumn("place", place_of(F.col("doc_id"), word_count(F.col("text")))), materialize(thresholds(rows), "mix-thresholds"))
-    more = (F.col("place") < F.col("below")) | ((F.col("place") == F.col("below")) & F.col("at"))
-    times = F.col("repeats").cast("int") + F.when(more, 1).otherwise(0)
-    return full.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    """The documents themselves, each as often as the mix takes it. Columns may have any names: they are numbered meanwhile."""
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    key, text, source = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text", "source"))
+    placed = numbered.withColumn("source", source).withColumn("size", word_count(text)).withColumn("place", place_of(key, F.col("size")))
+    rows = materialize(placed.select("source", "size", "place"), "mix-rows")
+    full = with_small(placed, thresholds(rows)).withColumn("copy", F.explode(F.array_repeat(F.lit(1), times_of().cast("int"))))
+    return full.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op7_mix(spark, sf_dir: str) -> DataFrame:
@@ -132,7 +149,7 @@ OP7_SQL = r"""
 WITH rows AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), placed AS (
-  SELECT *, substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || size::VARCHAR), 1, 6) AS place FROM rows
+  SELECT *, md5(coalesce(doc_id::VARCHAR, '') || ':' || size::VARCHAR) AS place FROM rows
 ), sizes AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM placed GROUP BY source
 ), nth AS (
@@ -153,14 +170,19 @@ WITH rows AS (
 ), budgets AS (
   SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS repeats FROM goal
 ), running AS (
-  SELECT p.source, p.place, target - repeats * source_size AS budget, sum(p.size)::BIGINT AS words
+  SELECT p.source, substr(p.place, 1, 6) AS bucket, target - repeats * source_size AS budget, sum(p.size)::BIGINT AS words
   FROM placed p JOIN budgets b ON p.source IS NOT DISTINCT FROM b.source GROUP BY ALL
 ), upto AS (
-  SELECT *, sum(words) OVER (PARTITION BY source ORDER BY place) AS upto FROM running
+  SELECT *, sum(words) OVER (PARTITION BY source ORDER BY bucket) AS upto FROM running
 ), edge AS (
-  SELECT source, place AS below, upto - budget <= budget - (upto - words) AS at FROM upto WHERE upto - words < budget AND budget <= upto
+  SELECT source, bucket AS below, upto <= budget AS at, budget - (upto - words) AS gap FROM upto WHERE upto - words < budget AND budget <= upto
+), extra AS (
+  SELECT p.source, p.place AS extra FROM placed p JOIN edge e ON p.source IS NOT DISTINCT FROM e.source
+  WHERE NOT e.at AND substr(p.place, 1, 6) >= e.below AND abs(e.gap - p.size) < e.gap
+  QUALIFY row_number() OVER (PARTITION BY p.source ORDER BY abs(e.gap - p.size), p.place) = 1
 )
 SELECT p.doc_id, p.size, b.source_size, b.target,
-  (p.size * (b.repeats + CASE WHEN p.place < coalesce(e.below, '') OR (p.place = e.below AND e.at) THEN 1 ELSE 0 END))::BIGINT AS taken
+  (p.size * (b.repeats + CASE WHEN substr(p.place, 1, 6) < coalesce(e.below, '') OR (substr(p.place, 1, 6) = e.below AND e.at) OR p.place = x.extra THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM placed p JOIN budgets b ON p.source IS NOT DISTINCT FROM b.source LEFT JOIN edge e ON p.source IS NOT DISTINCT FROM e.source
+LEFT JOIN extra x ON p.source IS NOT DISTINCT FROM x.source
 """

@@ -32,10 +32,10 @@ BLOCK = 1 << 20
 
 def _rolling(codes: np.ndarray, width: int) -> np.ndarray:
     """A polynomial hash of each run of ``width`` codes, by doubling; width is a power of two."""
-    out, done, factor = codes.astype(U), 1, BASE
+    out, done, factor = codes.astype(U), 1, int(BASE)
     while done < width:
-        out = out[:-done] * factor + out[done:]
-        factor, done = factor * factor, 2 * done
+        out = out[:-done] * U(factor) + out[done:]
+        factor, done = factor * factor % (1 << 64), 2 * done
     return out
 
 
@@ -46,20 +46,17 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
         whole = int.from_bytes(hashlib.blake2b(codes.tobytes(), digest_size=8).digest(), "little")
         return (np.zeros(1, np.int64), np.array([whole], U)) if len(codes) else (np.empty(0, np.int64), np.empty(0, U))
     places, hashes = [], []
-    with np.errstate(over="ignore"):
-        for at in range(0, len(codes) - k + 1, BLOCK):
-            part = codes[at : at + BLOCK + k - 1]
-            inner, inside = mix(_rolling(part, s)), k - s + 1
-            n = len(part) - k + 1
-            least = inner[:n]
-            for i in range(1, inside):
-                least = np.minimum(least, inner[i : i + n])
-            chosen = np.flatnonzero((least == inner[:n]) | (least == inner[inside - 1 : inside - 1 + n]))
-            window = inner[chosen] * BASE + inner[chosen + k - s]  # two inner substrings cover the window when k = 2 s
-            if 2 * s < k:
-                window = _rolling(part, k)[chosen]
-            places.append(chosen + at)
-            hashes.append(mix(window + GOLD))
+    for at in range(0, len(codes) - k + 1, BLOCK):
+        part = codes[at : at + BLOCK + k - 1]
+        inner, inside, n = mix(_rolling(part, s)), k - s + 1, len(part) - k + 1
+        least = inner[:n]
+        for i in range(1, inside):
+            least = np.minimum(least, inner[i : i + n])
+        chosen = np.flatnonzero((least == inner[:n]) | (least == inner[inside - 1 : inside - 1 + n]))
+        # the first and the last inner substring cover the window if it isn't longer than both
+        window = inner[chosen] * BASE + inner[chosen + k - s] if 2 * s >= k else _rolling(part, k)[chosen]
+        places.append(chosen + at)
+        hashes.append(mix(window + GOLD))
     return np.concatenate(places), np.concatenate(hashes)
 
 
