@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kindred.functions import text, tokens
-from kindred.operators.keys import V4, Blocking, prepare, primary_keys, target_keys, vocabulary, vocabulary_by_band
+from kindred.operators.keys import SIGNALS_CHAR, V4, Blocking, prepare, primary_keys, target_keys, vocabulary, vocabulary_by_band
 
 #: Postings kept of a key where long postings are truncated.
 KEEP = 300
@@ -83,6 +83,42 @@ def block(s1: DataFrame, targets: DataFrame, config: Blocking = V4) -> DataFrame
     return candidates(own, within_caps(wanted(target_keys(targets, config, known), own), config.caps), config.signals)
 
 
+def char_keys(records: DataFrame) -> DataFrame:
+    """entity_id, sig, key: the name without legal forms, its padded trigrams, address words and numbers, scoped by country."""
+    name, address = text.name_without_phrases(F.col("business_name")), text.normalize_address(F.col("business_address"))
+    rows = records.select("entity_id", text.country_fold(F.col("country")).alias("country"), name.alias("name"), address.alias("addr"))
+    parts = {
+        "exact_name": F.when(F.col("name") != "", F.array("name")).otherwise(tokens.nothing()),
+        "char_name": tokens.padded_ngrams(F.col("name")),
+        "addr_token": tokens.address_tokens(F.col("addr"), 3, ()),
+        "addr_number": tokens.numbers(F.col("addr")),
+    }
+    tagged = lambda sig: lambda p: F.struct(F.lit(sig).alias("sig"), p.alias("payload"))
+    each = F.concat(*[F.transform(parts[sig], tagged(sig)) for sig in SIGNALS_CHAR])
+    return rows.select("entity_id", "country", F.explode(each).alias("k")).select("entity_id", "k.sig", F.concat_ws("|", "country", "k.payload").alias("key")).distinct()
+
+
+def char_candidates(s1: DataFrame, targets: DataFrame, cap: int = KEEP) -> DataFrame:
+    """s1_id, target_id, mask, n_signals of the union of four signals.
+
+    Grams, words and numbers of more than ``cap`` targets are dropped, long lists of equal names are
+    cut; by shared grams, and by shared words, each record keeps its first ``cap`` targets.
+    """
+    from kindred.operators.ranking import top
+
+    own = char_keys(s1)
+    posted = wanted(char_keys(targets), own)
+    live = truncated(posted.where("sig = 'exact_name'"), cap).unionByName(within_caps(posted.where("sig <> 'exact_name'"), {}, cap))
+    found = None
+    for i, sig in enumerate(SIGNALS_CHAR):
+        pairs = votes(own.where(F.col("sig") == sig), live.where(F.col("sig") == sig))
+        if sig in ("char_name", "addr_token"):
+            pairs = top(pairs, cap, F.col("votes").desc(), F.col("target_id"))
+        pairs = pairs.select("s1_id", "target_id", F.lit(1 << i).alias("bit"))
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.groupBy("s1_id", "target_id").agg(F.bit_or("bit").alias("mask")).withColumn("n_signals", F.bit_count("mask").cast("int"))
+
+
 def signature_keys(records: DataFrame) -> DataFrame:
     """entity_id, sig, key of the prefix-signature generator, scoped by country."""
     name, addr = F.col("business_name"), F.col("business_address")

@@ -19,7 +19,7 @@ SIGNALS_4 = ("nx", "ns", "nc", "ua", "aa", "ng", "nt", "ap", "ar", "an", "pc", "
 SIGNALS_3 = ("nx", "ns", "nc", "ua", "aa", "ng", "nt", "ap", "an", "pc", "ag", "ah")
 SIGNALS_1 = ("nx", "ns", "nc", "ap", "an", "ua", "aa", "ng", "nt")
 SIGNALS_MULTI = ("nx", "ns", "nc", "np", "ap", "an", "xn")
-SIGNALS_CHAR = ("name", "gram", "token", "number")
+SIGNALS_CHAR = ("exact_name", "char_name", "addr_token", "addr_number")
 CAPS_4 = {"nx": 300, "ns": 300, "nc": 300, "ua": 300, "aa": 300, "ng": 150, "nt": 150, "ap": 200, "ar": 150, "an": 200, "pc": 300, "ag": 100, "ah": 200}
 CAPS_3 = {"nx": 300, "ns": 300, "nc": 300, "ua": 300, "aa": 300, "ng": 150, "nt": 150, "ap": 200, "an": 200, "pc": 300, "ag": 100, "ah": 200}
 CAPS_1 = dict.fromkeys(SIGNALS_1, 300)

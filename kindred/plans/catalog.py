@@ -205,6 +205,12 @@ def candidates_multi(spark, sf_dir):
     return blocking.block(*proxy.sides(spark, sf_dir), keys.MULTI).select(*PAIRS)
 
 
+@query()
+def candidates_char(spark, sf_dir):
+    """Names, grams, address words and numbers."""
+    return blocking.char_candidates(*proxy.sides(spark, sf_dir)).select(*PAIRS)
+
+
 def _prepared(spark, sf_dir):
     s1, targets = proxy.sides(spark, sf_dir)
     return keys.prepare(s1, "lower"), keys.prepare(targets, "lower")

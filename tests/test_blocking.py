@@ -122,6 +122,37 @@ def test_generations_find_equal_records(spark, config):
     assert found.agg(F.max("n_signals")).first()[0] <= len(config.signals)
 
 
+def plain_char_keys(row):
+    _, name, address, country = row
+    words = f" {' '.join(normal(name).split())} "
+    for phrase in ("private limited", "pvt ltd"):
+        words = words.replace(f" {phrase} ", " ")
+    legal = set("pvt limited ltd llc llp inc incorporated corporation corp company co plc gmbh".split())
+    name, address, country = " ".join(w for w in words.split() if w not in legal), normal(address), country.strip().casefold()
+    padded = f" {name} "
+    out = {("exact_name", name)} | {("char_name", padded[i : i + 3]) for i in range(len(padded) - 2)} if name else set()
+    out |= {("addr_token", w) for w in re.findall(r"\w+", address) if any(c.isdigit() for c in w) or len(w) >= 3}
+    return {(sig, country, k) for sig, k in out | {("addr_number", n) for n in re.findall(r"\d+[a-zA-Z]?", address)}}
+
+
+@pytest.mark.parametrize("cap", [4, 300])
+def test_char_candidates(spark, cap):
+    s1, targets = record_tables(spark)
+    postings, votes = defaultdict(list), defaultdict(Counter)
+    for row in made(120, 2):
+        for key in plain_char_keys(row):
+            postings[key].append(row[0])
+    for row in made(60, 1):
+        for key in plain_char_keys(row):
+            ids = sorted(postings[key])[:cap] if key[0] == "exact_name" else postings[key] if len(postings[key]) <= cap else []
+            votes[row[0], key[0]].update(ids)
+    wanted = Counter()
+    for (key, sig), found in votes.items():
+        first = sorted(found, key=lambda t: (-found[t], t))[: cap if sig in ("char_name", "addr_token") else None]
+        wanted.update((key, t) for t in first)
+    assert {(r.s1_id, r.target_id): r.n_signals for r in blocking.char_candidates(s1, targets, cap).collect()} == dict(wanted)
+
+
 def test_empty_tables(spark):
     s1, targets = record_tables(spark)
     assert not blocking.block(s1.limit(0), targets).count()

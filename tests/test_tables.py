@@ -54,6 +54,11 @@ def test_exact_samples(spark, n):
     assert len(first) == min(n, 1000) == len(set(first)) and first == again
 
 
+def test_shuffled(spark):
+    first, again = ([r.id for r in sampling.shuffled(spark.range(100).repartition(p), ["id"]).collect()] for p in (1, 4))
+    assert first == again != sorted(first) and sorted(first) == list(range(100))
+
+
 def test_every_nth(spark):
     assert sorted(r.id for r in sampling.every_nth(spark.range(1000), "id", 10).collect()) == list(range(0, 1000, 100))
     assert sampling.every_nth(spark.range(5), "id", 10).count() == 5
