@@ -95,7 +95,7 @@ def char_keys(records: DataFrame) -> DataFrame:
     }
     tagged = lambda sig: lambda p: F.struct(F.lit(sig).alias("sig"), p.alias("payload"))
     each = F.concat(*[F.transform(parts[sig], tagged(sig)) for sig in SIGNALS_CHAR])
-    return rows.select("entity_id", "country", F.explode(each).alias("k")).select("entity_id", "k.sig", F.concat_ws("|", "country", "k.payload").alias("key")).distinct()
+    return rows.select("entity_id", "country", F.explode(F.array_distinct(each)).alias("k")).select("entity_id", "k.sig", F.concat_ws("|", "country", "k.payload").alias("key"))
 
 
 def char_candidates(s1: DataFrame, targets: DataFrame, cap: int = KEEP) -> DataFrame:
@@ -123,8 +123,8 @@ def signature_keys(records: DataFrame) -> DataFrame:
     """entity_id, sig, key of the prefix-signature generator, scoped by country."""
     name, addr = F.col("business_name"), F.col("business_address")
     normal = text.normalize_name(name, suffixes=text.LEGAL_SUFFIXES_SIGNATURE)
-    rows = records.select("entity_id", text.country_fold(F.col("country")).alias("country"), F.explode(F.concat(tokens.name_signatures(normal, text.ascii_normalize(normal)), tokens.address_signatures(text.normalize_address(addr)))).alias("payload"))
-    return rows.select("entity_id", F.regexp_extract("payload", "^([A-Z_]+):", 1).alias("sig"), F.concat_ws("|", "country", "payload").alias("key")).distinct()
+    rows = records.select("entity_id", text.country_fold(F.col("country")).alias("country"), F.explode(F.array_distinct(F.concat(tokens.name_signatures(normal, text.ascii_normalize(normal)), tokens.address_signatures(text.normalize_address(addr))))).alias("payload"))
+    return rows.select("entity_id", F.regexp_extract("payload", "^([A-Z_]+):", 1).alias("sig"), F.concat_ws("|", "country", "payload").alias("key"))
 
 
 def prefix_block_keys(records: DataFrame, country: str = "country") -> DataFrame:

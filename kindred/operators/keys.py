@@ -159,17 +159,17 @@ def keys_v1(words: Column, nums: Column) -> dict[str, Column]:
 
 
 def keyed(records: DataFrame, payloads: dict[str, Column], config: Blocking) -> DataFrame:
-    """entity_id, sig, key for each payload; a record's repeated keys count once."""
+    """entity_id, sig, key for each payload; a record's repeated keys count once (within the row: no shuffle is needed for that)."""
     parts = [_tagged(sig, p) for sig, p in payloads.items() if sig in config.signals]
-    rows = records.select("entity_id", "country", F.explode(F.concat(*parts)).alias("k")).select("entity_id", "country", "k.sig", "k.payload")
+    rows = records.select("entity_id", "country", F.explode(F.array_distinct(F.concat(*parts))).alias("k")).select("entity_id", "country", "k.sig", "k.payload")
     return hashed(rows, config)
 
 
 def hashed(rows: DataFrame, config: Blocking) -> DataFrame:
-    """(entity_id, country, sig, payload) -> (entity_id, sig, key), distinct."""
+    """(entity_id, country, sig, payload) -> (entity_id, sig, key)."""
     whole = F.concat_ws("|", "sig", "country", "payload")
     key = {"text": F.concat_ws("|", "country", "payload"), "crc32": F.crc32(whole), "xxhash64": F.xxhash64(whole)}[config.keyed]
-    return rows.select("entity_id", "sig", key.alias("key")).distinct()
+    return rows.select("entity_id", "sig", key.alias("key"))
 
 
 def frequencies(records: DataFrame, values: Column, name: str) -> DataFrame:
