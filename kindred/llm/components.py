@@ -28,15 +28,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) for each end of an edge (a, b); loops and repeats are ignored.
 
-    Only counts and check sums of the edges reach the driver.
+    Nothing of the edges reaches the driver but whether they are stars yet.
     """
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    edges, before = materialize(edges, "links"), None
+    edges = materialize(edges, "links")
     for _ in range(ROUNDS):
-        # stars only: no node is both a centre and a leaf, and no leaf has two centres
-        leaves = edges.groupBy("b").agg(F.count("*").alias("n"))
-        chained = edges.select(F.col("a").alias("b")).distinct().join(leaves, "b", "left_semi").limit(1).count()
-        if not chained and not leaves.where("n > 1").limit(1).count():
+        # stars only: no leaf has two centres or is a centre itself
+        roles = edges.select(F.col("b").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).union(edges.select("a", F.lit(0), F.lit(1)))
+        sums = roles.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre"))
+        if not sums.where("leaf > 1 OR (leaf = 1 AND centre = 1)").limit(1).count():
             return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select(F.col("a"), F.col("a")).distinct())
         edges = materialize(_small_star(_large_star(edges)), "links")
     raise RuntimeError("components: no end after the allowed rounds")
