@@ -188,9 +188,8 @@ def with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.join(side(a, "a"), a).join(side(b, "b"), b)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, words: int, least: float) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are similar enough."""
-    sets = shingle_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs, places, words)
     both = with_sets(pairs, sets, "a", "b").select("a", "b", "ka", "wa", "kb", "wb")
     return materialize(both.mapInArrow(_checker(least), "a long, b long"), "verified")
 
@@ -220,7 +219,7 @@ def _differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(weight, pa.float64()), pa.array(size, pa.float64()), lists(ids, pa.int64()), lists(amounts, pa.float64())], names=["hub", "node", "component", "top", "weight", "size", "ids", "amounts"])
 
 
-def across(members: DataFrame, docs: DataFrame, places: DataFrame, words: int, least: float) -> DataFrame:
+def across(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of one hub's members, of different components, that may be similar enough.
 
     members: hub, node, component, top (whether in the hub's component). Let D be the summed
@@ -233,7 +232,6 @@ def across(members: DataFrame, docs: DataFrame, places: DataFrame, words: int, l
     first m' = (1 - t) / (1 + t) (1 + 1 / t) Wx of its elements.
     """
     share = (1 - least) / (1 + least)
-    sets = shingle_sets(members.select("node").union(members.select("hub")), docs, places, words)
     rows = with_sets(members, sets, "node", "hub").select("hub", "node", "component", "top", "ka", "wa", "kb", "wb")
     differ = materialize(rows.mapInArrow(_differ, "hub long, node long, component long, top boolean, weight double, size double, ids array<long>, amounts array<double>"), "differences")
     each = differ.select("hub", "node", "component", "top", "weight", "size", F.explode(F.arrays_zip("ids", "amounts")).alias("e"))
@@ -273,7 +271,8 @@ def classes(docs: DataFrame, k: int = COORDINATES, rows: int = ROWS, words: int
     members = materialize(banded.join(shared, "band").select("band", "node", "h"), "buckets")
     reps = members.where(F.xxhash64("node", "band") == F.col("h")).select("band", F.col("node").alias("rep"))
     first = materialize(members.join(reps, "band").where("node <> rep").select(*ordered("node", "rep")).distinct(), "pairs")
-    links = verified(first, docs, places, words, least)
+    sets = shingle_sets(members.select("node"), docs, places, words)  # of all that any later pair can name
+    links = verified(first, sets, least)
     tied = materialize(components(links), "components")
 
     # texts of one bucket in different components
@@ -293,9 +292,10 @@ def classes(docs: DataFrame, k: int = COORDINATES, rows: int = ROWS, words: int
         hubs = ends.join(tied, "node").groupBy(F.col("component").alias("top")).agg(F.max(F.struct("n", "node"))["node"].alias("hub"))
         large = large.join(hubs, "top", "left").select(F.coalesce("hub", "top").alias("hub"), "node", "component", (F.col("component") == F.col("top")).alias("top"))
         large = materialize(large.where("node <> hub"), "large-buckets")
-        more = more.union(large.where("NOT top").select(*ordered("node", "hub"))).union(across(large, docs, places, words, least))
+        more = more.union(large.where("NOT top").select(*ordered("node", "hub"))).union(across(large, sets, least))
     more = materialize(more.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    tied = materialize(components(links.union(verified(more, docs, places, words, least))), "components")
+    stars = tied.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a < b")
+    tied = materialize(components(stars.union(verified(more, sets, least))), "components")
 
     named = places.join(tied, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     of_class = named.groupBy("component").agg(F.min("first").alias("class_id"))
