@@ -13,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
+#: Bytes of a batch that goes to Python: texts are long, and a task holds a batch several times (Arrow's buffers in the JVM, the batch and its values in Python).
+BATCH, DEFAULT_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", str(8 << 20)
 
 
 def session(app: str = "kindred", master: str | None = None, **conf: str) -> SparkSession:
@@ -26,8 +28,10 @@ def session(app: str = "kindred", master: str | None = None, **conf: str) -> Spa
 
 
 def ship_code(spark: SparkSession) -> None:
-    """Give the executors' Python this package, once a session; it need not be installed there."""
+    """Give the executors' Python this package, once a session (it need not be installed there), and bound the batches it gets."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH, DEFAULT_BATCH) == DEFAULT_BATCH:  # else someone chose it
+        spark.conf.set(BATCH, BATCH_BYTES)
     if getattr(context, "_kindred_shipped", False):
         return
     held = io.BytesIO()
