@@ -39,10 +39,10 @@ def groups(texts: list[str], most: int = GROUP_BYTES) -> Iterator[tuple[int, int
         yield at, len(texts)
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str], beginnings: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the lower-cased texts, and where each text's words begin (one more entry than texts).
 
-    Words are runs of ASCII letters and digits and of characters beyond ASCII. Eight bytes are
+    With ``beginnings`` (at most 8), of the first so many bytes of each longer word instead. Words are runs of ASCII letters and digits and of characters beyond ASCII. Eight bytes are
     taken at a time, so nearly all words need one or two steps.
     """
     parts = [text.lower().encode("utf-8", "surrogatepass") for text in texts]
@@ -55,6 +55,9 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, length = edge[::2], edge[1::2] - edge[::2]
     eight = np.ndarray((len(held) - 7,), "<u8", held, strides=(1,))
+    if beginnings:
+        start = start[length > beginnings]
+        return mix((eight[start] & _FIRST[beginnings]) ^ (GOLD >> U(beginnings))), np.searchsorted(start, begin)
     out = length.astype(U) * GOLD
     todo, done = np.flatnonzero(length <= _LONG), 0
     while len(todo):

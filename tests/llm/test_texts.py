@@ -279,6 +279,19 @@ def test_quality_on_documents(spark):
     assert kept(2) >= 0.97 and kept(0) <= 0.5
 
 
+def test_toxic_documents_are_rejected():
+    """Held out, on half of the labels of sf0.1: sound but toxic documents go, clean ones stay."""
+    import pyarrow.parquet as pq
+
+    read = lambda name, *c: pq.read_table(f"/root/testdata/sf0.1/{name}.parquet", columns=list(c)).to_pylist()
+    texts = {r["doc_id"]: r["text"] for r in read("documents", "doc_id", "text")}
+    rows = [(texts[r["doc_id"]] or "", 0 if r["quality"] < 1 else 1 if r["toxic"] else 2) for r in read("labels", "doc_id", "quality", "toxic")]
+    ids, grades = quality.features([t for t, _ in rows]), np.array([g for _, g in rows])
+    model = quality.fit(ids[::2], grades[::2])
+    kept, held = model.tails(model.score(ids[1::2]))[:, 1] >= quality.CUT, grades[1::2]
+    assert kept[held == 1].mean() < 0.35 and kept[held == 0].mean() < 0.05 and kept[held == 2].mean() > 0.98
+
+
 def test_selected_keeps_columns_and_odd_rows(spark):
     docs = spark.createDataFrame([(None, t) for t in ODD] + [(1, "a"), (1, "a")], "doc_id long, text string").withColumn("tail", F.lit("t")).withColumn("_text", F.lit(1))
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
