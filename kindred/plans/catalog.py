@@ -240,11 +240,17 @@ pkeys AS (SELECT entity_id, src, country || '|' || unnest(list_distinct(
 @query(f"""WITH {REC}, {_PREFIX}, full_ AS (SELECT key FROM pkeys WHERE src <> 0 AND key IN (SELECT key FROM pkeys WHERE src = 0) GROUP BY 1 HAVING count(*) <= 300)
 SELECT a.entity_id AS s1_id, b.entity_id AS target_id, count(*) AS votes FROM pkeys a JOIN pkeys b USING (key) JOIN full_ USING (key) WHERE a.src = 0 AND b.src <> 0 GROUP BY ALL""")
 def block_prefix_keys(spark, sf_dir):
-    """X21, J8, A23, with keys of at most 300 postings."""
+    """X21, A3, A23, with keys of at most 300 postings; J8 whole is ``block_prefix_keys_all``."""
     s1, targets = (blocking.prefix_block_keys(r) for r in proxy.sides(spark, sf_dir))
     return blocking.votes(s1, blocking.within_caps(blocking.wanted(targets, s1), {}))
 
 
+@query()
+def block_prefix_keys_all(spark, sf_dir):
+    """Every pair that shares a prefix key."""
+    return blocking.all_votes(*(blocking.prefix_block_keys(r) for r in proxy.sides(spark, sf_dir)))
+
+
 @query(f"""WITH {REC}, {_PREFIX}, b AS (SELECT key, count(*) AS n FROM pkeys WHERE src <> 0 GROUP BY 1)
 SELECT count(*) AS count, round(avg(n), 9) AS mean, median(n) AS median, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.75) AS p75, quantile_cont(n, 0.9) AS p90, quantile_cont(n, 0.95) AS p95,
   quantile_cont(n, 0.99) AS p99, quantile_cont(n, 0.999) AS p99_9, max(n) AS max FROM b""")

@@ -208,3 +208,20 @@ def test_stream_gives_the_batch_pairs(spark, tmp_path):
     scoring.stream_candidates(stream, live, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     found = {tuple(r)[:4] for r in spark.read.parquet(str(tmp_path / "out")).select("s1_id", "target_id", "mask", "n_signals").collect()}
     assert found == {tuple(r) for r in blocking.block(s1, targets).select("s1_id", "target_id", "mask", "n_signals").collect()}
+
+
+def full_keys(spark, folder):
+    """900 documents of one name, 600 of them targets, and 30 of others."""
+    texts = ["abcde fghij klmno pqrst uvwxy zabcd efghi"] * 900 + [f"other{i} name" for i in range(30)]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{folder}/documents.parquet")
+    return {(f"S1-{i}", f"S{j % 3 + 1}-{j}") for i in range(0, 900, 3) for j in range(900) if j % 3}
+
+
+def test_over_full_prefix_keys_keep_their_pairs(spark, tmp_path):
+    from kindred.plans import catalog
+
+    same = full_keys(spark, tmp_path)
+    found = {(r.s1_id, r.target_id): r.votes for r in catalog.queries()["block_prefix_keys_all"](spark, str(tmp_path)).collect()}
+    own = [blocking.prefix_block_keys(r) for r in catalog.proxy.sides(spark, str(tmp_path))]
+    plain = {(r.s1_id, r.target_id): r.votes for r in blocking.votes(*own).collect()}
+    assert same <= set(found) and found == plain
