@@ -61,16 +61,18 @@ def votes(primary: DataFrame, targets: DataFrame) -> DataFrame:
     return left.join(targets.select(F.col("entity_id").alias("target_id"), "sig", "key"), ["sig", "key"]).groupBy("s1_id", "target_id").agg(F.count("*").alias("votes"))
 
 
-def all_votes(primary: DataFrame, targets: DataFrame, most: int = KEEP) -> DataFrame:
-    """The votes of all keys, however full.
-
-    A key's targets are dealt by their ids over parts of about ``most``; its primary records go to each of them.
-    """
+def dealt(primary: DataFrame, targets: DataFrame, most: int = KEEP) -> tuple[DataFrame, DataFrame]:
+    """Both sides with over-full keys split: a key's targets are dealt by their ids over parts of about ``most``, its primary records go to each of them."""
     posted = wanted(targets, primary)
     parts = posted.groupBy("sig", "key").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
     left = primary.join(parts, ["sig", "key"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     right = posted.join(parts, ["sig", "key"]).withColumn("part", F.pmod(F.xxhash64("entity_id"), F.col("parts")).cast("int"))
-    return votes(left.withColumn("key", F.struct("key", "part")), right.withColumn("key", F.struct("key", "part")))
+    return tuple(r.select("entity_id", "sig", F.struct("key", "part").alias("key")) for r in (left, right))
+
+
+def all_votes(primary: DataFrame, targets: DataFrame) -> DataFrame:
+    """The votes of all keys, however full."""
+    return votes(*dealt(primary, targets))
 
 
 def known_words(s1: DataFrame, config: Blocking) -> DataFrame | None:

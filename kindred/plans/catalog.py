@@ -270,13 +270,21 @@ def block_exact_address(spark, sf_dir):
 @query(f"""WITH {REC}, e AS (SELECT entity_id, src, {words_sql("replace(business_name, '&', ' and ')")} AS a FROM rec), n AS (SELECT a FROM e WHERE src <> 0 GROUP BY 1 HAVING count(*) <= 50)
 SELECT x.entity_id AS s1_id, y.entity_id AS target_id FROM e x JOIN e y USING (a) JOIN n USING (a) WHERE x.src = 0 AND y.src <> 0 AND a <> ''""")
 def block_name_any_country(spark, sf_dir):
-    """N14, J6, for names that at most 50 targets have."""
+    """N14, J6, for names that at most 50 targets have; J6 whole is ``block_name_any_country_all``."""
     s1, targets = proxy.sides(spark, sf_dir)
     name = text.normalize_text(F.col("business_name"))
     rare = targets.groupBy(name.alias("name")).agg(F.count("*").alias("n")).where("n <= 50")
     return blocking.exact_name(s1, targets.withColumn("name", name).join(rare, "name", "left_semi"))
 
 
+@query()
+def block_name_any_country_all(spark, sf_dir):
+    """Every pair of one name."""
+    s1, targets = (r.select("entity_id", F.lit("na").alias("sig"), text.normalize_text(F.col("business_name")).alias("key")) for r in proxy.sides(spark, sf_dir))
+    left, right = blocking.dealt(s1.where("key <> ''"), targets.where("key <> ''"))
+    return left.withColumnRenamed("entity_id", "s1_id").join(right.withColumnRenamed("entity_id", "target_id"), ["sig", "key"]).select("s1_id", "target_id")
+
+
 @query()
 def block_exact_normalized(spark, sf_dir):
     """S2 and S3 joined apart, then united."""
