@@ -379,10 +379,10 @@ def inverse_block_rank(spark, sf_dir):
 
 @query()
 def tfidf_topk(spark, sf_dir):
-    """The ten nearest targets by cosine of word n-grams."""
+    """The hundred nearest targets by cosine of word n-grams."""
     s1, targets = proxy.sides(spark, sf_dir)
     name = text.normalize_text(F.col("business_name"))
-    return ranking.cosine_top(ranking.tfidf(s1, name, targets), ranking.tfidf(targets, name), 10).select("s1_id", "target_id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("int").alias("rank"))
+    return ranking.cosine_top(ranking.tfidf(s1, name, targets), ranking.tfidf(targets, name), 100).select("s1_id", "target_id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("int").alias("rank"))
 
 
 # --- evaluation --------------------------------------------------------------------------------

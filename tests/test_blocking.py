@@ -233,3 +233,12 @@ def test_names_of_many_targets_keep_their_pairs(spark, tmp_path):
     same = full_keys(spark, tmp_path)
     found = catalog.queries()["block_name_any_country_all"](spark, str(tmp_path)).collect()
     assert len(found) == len(set(found)) == len(same) and {tuple(r) for r in found} == same
+
+
+def test_tfidf_keeps_a_hundred_targets(spark, tmp_path):
+    from kindred.plans import catalog
+
+    texts = [f"common words of name{i}" for i in range(180)]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    ranks = Counter(r["rank"] for r in catalog.queries()["tfidf_topk"](spark, str(tmp_path)).collect())
+    assert ranks == {i: 60 for i in range(1, 101)}
