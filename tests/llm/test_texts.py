@@ -155,8 +155,8 @@ def test_pack(spark):
     from tokenizers import Tokenizer
 
     known = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    known.encode_special_tokens = True
-    texts = [*ODD, "<|endoftext|> in a text", "naïve 漢字 12345\n\n\t tabs", " ".join(words(4000, random.Random(1)))]
+    runs = [" " * 2_000_000, "\n" * 1_000_000, "x" + "\t " * 300_000 + "x", "a" * 200_000]
+    texts = [*ODD, "<|endoftext|> in a text", "<|endoftext|>", "naïve 漢字 12345\n\n\t tabs", " ".join(words(4000, random.Random(1))), *runs]
     docs = spark.createDataFrame([(None if i == 3 else i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("length", F.lit("x"))
     found = packing.pack(docs).collect()
     ids = {(None if i == 3 else i): [*known.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
@@ -175,9 +175,20 @@ def test_pack(spark):
         rows.sort()
         assert rows[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(rows, rows[1:])) and sum(rows[-1]) <= 2048
     assert len(by_doc) == len(texts)
+    left = [2048 - sum(n for _, n in rows) for rows in by_window.values()]
+    assert (len(by_window), sorted(x for x in left if x)) == brute_fit([r.length for r in found], 2048)
+    assert sorted(by_window) == list(range(len(by_window)))
     assert not packing.pack(docs.limit(0)).count()
 
 
+def test_the_query_packs_like_the_textbook(spark):
+    found = packing.op3_pack(spark, "/root/testdata/sf0.001").collect()
+    held = Counter()
+    for r in found:
+        held[r.sequence_id] += r.length
+    assert (len(held), sorted(2048 - n for n in held.values() if n < 2048)) == brute_fit([r.length for r in found], 2048)
+
+
 def brute_anchors(text, k=16, s=8):
     inner = lambda i: tuple(syncmers.mix(syncmers._rolling(np.array([ord(c) for c in text[i : i + s]]), s)).tolist())
     out = []
