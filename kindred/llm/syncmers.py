@@ -6,14 +6,20 @@ wherever they stand, and anchors of two texts can be matched with their position
 the ``KEPT`` least hashes of a text's anchors; two fingerprints' likeness estimates the Jaccard
 similarity of the texts' anchors.
 
+Positions tell more than the sketch: ``aligned`` is the share of a text's anchors that another text
+has in the same order, found among all anchors that are unique in both. A passage that two long texts
+share is seen there however small a part of them it is.
+
 The query also fingerprints each text with its end replaced by the beginning of the next document.
 Rows are dealt by ranges of descending doc_id and sorted; neighbours then meet in one task, and the
-first row of each range travels to the range before as well, so that texts are shuffled once.
+first row of each range travels to the range before as well, so that texts are shuffled once. An id
+that many rows have, or null, is spread over several ranges by the hash of its texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kindred.llm.common import partitions_of, range_cuts, range_index, session_of, table, text_or_empty
+from kindred.llm.common import partitions_of, ranges, session_of, table, text_or_empty
 from kindred.llm.hashing import BASE, GOLD, U, mix
 
 K, S = 16, 8
@@ -60,9 +66,9 @@ def anchors(text: str, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(hashes)
 
 
-def sketch(text: str, kept: int = KEPT) -> np.ndarray:
+def least_hashes(hashes: np.ndarray, kept: int = KEPT) -> np.ndarray:
     """The least distinct 32-bit hashes of the anchors, ascending."""
-    found = (anchors(text)[1] >> U(32)).astype(np.uint32)
+    found = (hashes >> U(32)).astype(np.uint32)
     if len(found) > 4 * kept:
         some = np.unique(np.partition(found, 2 * kept)[: 2 * kept])
         if len(some) >= kept:
@@ -70,6 +76,10 @@ def sketch(text: str, kept: int = KEPT) -> np.ndarray:
     return np.unique(found)[:kept]
 
 
+def sketch(text: str, kept: int = KEPT) -> np.ndarray:
+    return least_hashes(anchors(text)[1], kept)
+
+
 def fingerprint(held: np.ndarray) -> str:
     """Eight hexadecimal digits a hash."""
     return held.astype(">u4").tobytes().hex()
@@ -87,15 +97,47 @@ def likeness(a: np.ndarray, b: np.ndarray, kept: int = KEPT) -> float:
     return float(np.isin(union, a, assume_unique=True).astype(int) @ np.isin(union, b, assume_unique=True).astype(int)) / len(union)
 
 
+Anchors = tuple[np.ndarray, np.ndarray]
+
+
+def single(found: Anchors) -> Anchors:
+    """The anchors that occur once in their text: hashes ascending, and their positions."""
+    places, hashes = found
+    keys, first, n = np.unique(hashes, return_index=True, return_counts=True)
+    return keys[n == 1], places[first[n == 1]]
+
+
+def met(a: Anchors, b: Anchors) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in two texts of the anchors that are single in either, by position in the first. Both are given as ``single`` gives them."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    order = np.argsort(a[1][i])
+    return a[1][i][order], b[1][j][order]
+
+
 def matches(a: str, b: str) -> list[tuple[int, int]]:
     """Positions of equal anchors that are unique in either text, by position in a."""
-    at, of = anchors(a), anchors(b)
-    sides = []
-    for places, hashes in (at, of):
-        keys, first, n = np.unique(hashes, return_index=True, return_counts=True)
-        sides.append((keys[n == 1], places[first[n == 1]]))
-    _, i, j = np.intersect1d(sides[0][0], sides[1][0], assume_unique=True, return_indices=True)
-    return sorted(zip(sides[0][1][i].tolist(), sides[1][1][j].tolist(), strict=True))
+    left, right = met(single(anchors(a)), single(anchors(b)))
+    return list(zip(left.tolist(), right.tolist(), strict=True))
+
+
+def in_order(places: np.ndarray) -> int:
+    """How many of the places at most rise one after the other."""
+    if (places[1:] > places[:-1]).all():
+        return len(places)
+    ends: list[int] = []
+    for x in places.tolist():
+        if not ends or x > ends[-1]:
+            ends.append(x)
+        else:
+            ends[bisect_left(ends, x)] = x
+    return len(ends)
+
+
+def aligned(a: Anchors, b: Anchors) -> float:
+    """The share of the first text's single anchors that the second has in the same order; texts without any are alike."""
+    if not len(a[0]):
+        return float(not len(b[0]))
+    return in_order(met(a, b)[1]) / len(a[0])
 
 
 def edited(text: str, following: str) -> str:
@@ -104,7 +146,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, aligned_edited double, aligned_next double"
 
 
 def _pairer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,15 +161,18 @@ def _pairer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for pid, key, value, extra in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
             text = value.as_py()
-            held = sketch(text)
+            found = anchors(text)
+            held, own = least_hashes(found[1]), single(found)
             if before and before[0] == pid:
-                _, last, old, first, done = before
-                changed = edited(old, text)
-                own = first if changed == old else sketch(changed)
+                _, last, old, first, once, done = before
                 if not done:
+                    changed = edited(old, text)
                     sha = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((last, len(old), sha, fingerprint(first), fingerprint(own), likeness(first, own), likeness(first, held)))
-            before = (pid, key, text, held, extra)
+                    new = anchors(changed) if changed != old else None
+                    later, after = (least_hashes(new[1]), single(new)) if new else (first, once)
+                    near = (likeness(first, later), likeness(first, held), aligned(once, after), aligned(once, own))
+                    out.append((last, len(old), sha, fingerprint(first), fingerprint(later), *near))
+            before = (pid, key, text, held, own, extra)
             if len(out) >= 1000:
                 yield emit()
                 out = []
@@ -141,17 +186,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The next document is the next row by descending id, nulls last, rows of one id by their text's
     hash; after the last row comes the first. A null text counts as empty; an empty text's
     fingerprint is empty. A table of one row follows itself. Other columns are ignored; no rows
-    give no rows.
+    give no rows. Texts of any length are taken whole, hashed in blocks; a text and the next one are
+    held by one task. Rows equal in id and text can't be told apart and share a range.
     """
     spark = session_of(docs)
-    parts = partitions_of(spark)
     rows = docs.select(F.bitwise_not(F.col(id_col).cast("long")).alias("down"), text_or_empty(text_col).alias("text"))
-    ids = docs.select(F.bitwise_not(F.col(id_col).cast("long")).alias("down"))
-    cuts = range_cuts(ids, "down", parts)
-    # `down` rises as the id falls
-    last = len(cuts) + 1  # of null ids, behind all others
-    place = F.when(F.col("down").isNull(), F.lit(last)).otherwise(range_index(F.col("down"), cuts))
-    rows = rows.withColumn("pid", place).withColumn("tie", F.xxhash64("text"))
+    # `down` rises as the id falls; null ids are behind all others
+    cut = ranges(rows.select("down"), "down", partitions_of(spark))
+    tie = F.xxhash64("text")
+    fraction = (tie.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    rows = rows.withColumn("pid", cut.pid(F.col("down"), fraction)).withColumn("tie", tie)
     # the first row of each range that has rows; at most one a range
     heads = rows.select("pid", "down", "tie").groupBy("pid").agg(F.min(F.struct(F.col("down").isNull().alias("z"), F.col("down"), F.col("tie"))).alias("h"))
     known = sorted((r.pid, r.h.down, r.h.tie) for r in heads.collect())
@@ -162,7 +206,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     extra = rows.join(lookup, (rows.pid == lookup.pid) & rows.down.eqNullSafe(lookup.down) & (rows.tie == lookup.tie)).select(rows.down, "text", lookup.into.alias("pid"), rows.tie)
     extra = extra.dropDuplicates(["pid"]).withColumn("extra", F.lit(True))
     both = rows.withColumn("extra", F.lit(False)).unionByName(extra.select("down", "text", "pid", "tie", "extra"))
-    dealt = both.repartitionById(last + 1, F.col("pid").cast("int")).sortWithinPartitions("pid", "extra", F.col("down").asc_nulls_last(), "tie")
+    dealt = both.repartitionById(cut.count, F.col("pid").cast("int")).sortWithinPartitions("pid", "extra", F.col("down").asc_nulls_last(), "tie")
     return dealt.select("pid", F.bitwise_not("down").alias("doc_id"), "text", "extra").mapInArrow(_pairer, OUT)
 
 

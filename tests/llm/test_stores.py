@@ -1,9 +1,11 @@
 """Sharding, mixing, media, WARC and the pipeline."""
 
 import hashlib
+import io
 import random
 import sys
 import zlib
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from functools import lru_cache
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from kindred.llm import media, mixing, sharding, warc
-from kindred.llm.common import range_cuts, range_index, place, work_dir
+from kindred.llm.common import range_index, ranges, work_dir
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "a", "Ünï  çode", "same", "same", "x" * 5000, "w " * 3000, "y" * 64, "z" * 128]
@@ -53,14 +55,25 @@ def test_shard(spark):
 
 def test_range_index(spark):
     rows = spark.range(1000).select((F.col("id") * F.col("id")).alias("v"))
-    cuts = range_cuts(rows, "v", 7)
-    assert cuts == sorted(set(cuts)) and len(cuts) == 6
-    assert all(r.p == place(cuts, r.v) for r in rows.select("v", range_index(F.col("v"), cuts).alias("p")).collect())
-    assert max(Counter(r.p for r in rows.select(range_index(F.col("v"), cuts).alias("p")).collect()).values()) < 200
-    assert range_cuts(rows.limit(0), "v", 7) == []
+    cuts = [0, 5, 100, 5000, 900_000]
+    assert all(r.p == bisect_right(cuts, r.v) for r in rows.select("v", range_index(F.col("v"), cuts).alias("p")).collect())
     assert rows.select(range_index(F.lit(None).cast("long"), cuts).alias("p")).first().p == 0
 
 
+@pytest.mark.parametrize("nulls_first", [False, True])
+def test_ranges(spark, nulls_first):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 7, 7, rng.randrange(1000)]), rng.random()) for _ in range(4000)]
+    frame = spark.createDataFrame(rows, "v long, f double")
+    cut = ranges(frame, "v", 9, nulls_first)
+    found = frame.withColumn("pid", cut.pid(F.col("v"), F.col("f"))).collect()
+    order = sorted(found, key=lambda r: ((r.v is None) != nulls_first, r.v or 0, r.f))
+    assert [r.pid for r in order] == sorted(r.pid for r in found)
+    sizes = Counter(r.pid for r in found)
+    assert max(sizes) < cut.count <= 16 and max(sizes.values()) < 700
+    assert ranges(frame.limit(0), "v", 9).count == 2
+
+
 def filled(sizes, weights):
     """Targets by repeated sharing: what is above its limit is held there, the rest is shared again."""
     total, held = sum(sizes.values()), {}
@@ -190,6 +203,20 @@ def test_warc(spark):
     names = [x.base_name for x in store.get_file_info(warc.fs.FileSelector(root)) if x.is_file]
     assert sorted(names) == sorted(r.file for r in manifest.collect())  # no temporary names are left
 
+    headers = []
+    for n in names:
+        with store.open_input_stream(f"{root}/{n}", compression=None) as stream:
+            data = stream.read()
+        members = [x for *_, x in warc.members(io.BytesIO(data), len(data))]
+        assert b"WARC-Type: warcinfo" in members[0] and f"WARC-Filename: {n}".encode() in members[0]
+        headers += [dict(x.split(": ", 1) for x in m.split(b"\r\n\r\n")[0].decode().split("\r\n")[1:]) for m in members]
+    by_id = {h["WARC-Record-ID"]: h for h in headers}
+    assert len(by_id) == len(headers) == len(rows) + len(names)
+    for h in headers:
+        if h["WARC-Type"] == "revisit":
+            there = by_id[h["WARC-Refers-To"]]
+            assert (there["WARC-Type"], there["X-Page-ID"], there["WARC-Target-URI"]) == ("response", h["X-Refers-To-Page-ID"], h["WARC-Refers-To-Target-URI"])
+
     again = work_dir(spark, "warc-test")
     warc.write_archives(pages.repartition(5), again, roll_bytes=300)
     read = lambda f, n: warc.opened(f)[0].open_input_stream(f"{warc.opened(f)[1]}/{n}", compression=None).read()
@@ -202,8 +229,6 @@ def test_bad_records():
     assert warc.parsed(data, True)[:4] == (1, "u", 7, hashlib.sha256(b"payload").hexdigest())
     with pytest.raises(warc.BadRecord):
         warc.parsed(data.replace(b"payload\r", b"paYload\r"), True)
-    import io
-
     whole = warc.gzip_member(data) * 2
     assert [x[:2] for x in warc.members(io.BytesIO(whole), len(whole))] == [(0, len(whole) // 2), (len(whole) // 2, len(whole) // 2)]
     with pytest.raises(warc.BadRecord):

@@ -210,6 +210,31 @@ def test_anchors(monkeypatch):
     assert all(b - a == 17 for a, b in syncmers.matches(text, shifted)) and syncmers.matches(text, shifted)
 
 
+def brute_aligned(a, b):
+    """Anchors that are single in both, as windows; the longest rising run of their places by squares."""
+    once = []
+    for text in (a, b):
+        places = [0] if 0 < len(text) < 16 else brute_anchors(text)
+        held = Counter(text[i : i + 16] for i in places)
+        once.append({text[i : i + 16]: i for i in places if held[text[i : i + 16]] == 1})
+    if not once[0]:
+        return float(not once[1])
+    places, best = [once[1][w] for w in sorted(once[0], key=once[0].get) if w in once[1]], []
+    for i, x in enumerate(places):
+        best.append(1 + max((best[j] for j in range(i) if places[j] < x), default=0))
+    return max(best, default=0) / len(once[0])
+
+
+def test_aligned_sees_moved_passages():
+    rng = random.Random(9)
+    a, b, c = (" ".join(words(80, rng)) for _ in range(3))
+    share = lambda x, y: syncmers.aligned(*(syncmers.single(syncmers.anchors(t)) for t in (x, y)))
+    for x, y in ((a + b + c, c + a + b), (a, b), (a + b, "head " + a + c), (a, a)):
+        assert share(x, y) == brute_aligned(x, y)
+    long = " ".join(words(30_000, rng, 10**6))
+    assert share(a, long[:90_000] + a + long[90_000:]) > 0.95 and syncmers.likeness(syncmers.sketch(a), syncmers.sketch(long + a)) < 0.1
+
+
 @pytest.mark.parametrize("extra", [[], [(None, "last"), (5, "tie"), (5, "tie"), (5, "tie two")]])
 def test_fingerprints(spark, extra):
     rng = random.Random(8)
@@ -223,12 +248,25 @@ def test_fingerprints(spark, extra):
             text, following = text or "", order[(i + 1) % len(order)][1] or ""
             new = syncmers.edited(text, following)
             a, b, c = (syncmers.sketch(t) for t in (text, new, following))
-            wanted.append((key, len(text), hashlib.sha256(new.encode()).hexdigest(), syncmers.fingerprint(a), syncmers.fingerprint(b), syncmers.likeness(a, b), syncmers.likeness(a, c)))
+            near = (syncmers.likeness(a, b), syncmers.likeness(a, c), brute_aligned(text, new), brute_aligned(text, following))
+            wanted.append((key, len(text), hashlib.sha256(new.encode()).hexdigest(), syncmers.fingerprint(a), syncmers.fingerprint(b), *near))
         assert [tuple(r) for r in found] == sorted(wanted, key=lambda r: str(syncmers_row(r)))
     assert len(found) == len(rows)
     assert not syncmers.fingerprints(docs.limit(0)).count()
 
 
+def test_fingerprints_of_one_id(spark):
+    """Rows of one id, and of none, are spread over ranges by their texts and still follow each other in a circle."""
+    rng = random.Random(10)
+    rows = [(key, " ".join(words(12, rng))) for key in [7] * 150 + [None] * 150 + list(range(8, 30))]
+    found = syncmers.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(r.doc_id for r in found) == Counter(k for k, _ in rows) and [r.fingerprint for r in found].count("") == 0
+    assert Counter(r.fingerprint for r in found) == Counter(syncmers.fingerprint(syncmers.sketch(t)) for _, t in rows)
+    texts = {t for _, t in rows}
+    made = {hashlib.sha256(syncmers.edited(a, b).encode()).hexdigest() for a in texts for b in texts}
+    assert {r.edited_sha256 for r in found} <= made and len({r.edited_sha256 for r in found}) == len(texts)
+
+
 def syncmers_row(r):
     from pyspark.sql import Row
 
