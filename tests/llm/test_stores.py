@@ -38,6 +38,35 @@ def test_cuts_are_minimax():
         assert max(sum(sizes[a:b]) for a, b in zip(cuts, cuts[1:])) == least_capacity(tuple(sizes), shards) == sharding.smallest_capacity(sizes, shards)
 
 
+@pytest.mark.parametrize(("first_bits", "single", "around"), [(16, 100_000, 4), (3, 0, 0), (1, 60, 1), (3, 0, 50)])
+def test_shards_are_minimax(spark, monkeypatch, first_bits, single, around):
+    """The largest shard is the least possible one over the groups of equal texts in hash order."""
+    monkeypatch.setattr(sharding, "SINGLE_ROWS", single)
+    monkeypatch.setattr(sharding, "AROUND", around)
+    rng = random.Random(first_bits)
+    rows = [(i, f"{rng.randrange(400)} " * rng.choice([1, 5, 20, 90])) for i in range(1200)] + [(i, "hot text " * 40) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sharding.shard(docs, first_bits=first_bits).collect()
+    groups = docs.groupBy(F.xxhash64("text").alias("h")).agg(F.sum(F.octet_length("text") + 1).alias("n")).sort("h").collect()
+    sizes = Counter()
+    for r in found:
+        sizes[r.shard] += r.size
+    best = sharding.smallest_capacity([r.n for r in groups], 8)
+    assert max(sizes.values()) == best and best == smallest_by_trial([r.n for r in groups], 8)
+
+
+def smallest_by_trial(sizes, shards):
+    """Every sum of neighbours is tried as a capacity, from below, by filling shards one after the other."""
+    for capacity in sorted({sum(sizes[i:j]) for i in range(len(sizes)) for j in range(i + 1, min(len(sizes), i + 2 + len(sizes) // 2) + 1)}):
+        if capacity * shards < sum(sizes) or capacity < max(sizes):
+            continue
+        used, held = 1, 0
+        for n in sizes:
+            used, held = (used, held + n) if held + n <= capacity else (used + 1, n)
+        if used <= shards:
+            return capacity
+
+
 def test_shard(spark):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(100 + i, "hot") for i in range(300)] + [(1000 + i, f"text {i} " * (i % 20)) for i in range(600)] + [(None, "n"), (7, "same"), (7, "same")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("x")).repartition(4)
@@ -49,7 +78,7 @@ def test_shard(spark):
         by_text[r.size, r.text_crc32].add(r.shard)
         sizes[r.shard] += r.size
     assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and all(len(x) == 1 for x in by_text.values())
-    assert set(slots) <= set(range(8)) and max(sizes.values()) - min(sizes.values()) <= max(r.size for r in found) + 1300
+    assert set(slots) <= set(range(8)) and max(sizes.values()) - min(sizes.values()) <= max(r.size for r in found)
     assert not sharding.shard(docs.limit(0)).count()
 
 
