@@ -1,9 +1,11 @@
 """Media columns: archives of members in the shared folder, read by a Spark data source.
 
 Archives are tar files; beside each lies an index of its members' offsets. A file is written under a
-temporary name and renamed when complete, so a listing shows whole archives only and a task that
-runs again replaces its archive by equal bytes. The data source ``media_archive`` plans partitions as
-byte ranges over all archives of a folder: a member belongs to the range its header begins in.
+temporary name and renamed when complete, with the task attempt's own mark in its name. A manifest, a
+table beside the archives, lists those of the attempts that succeeded; no others are ever read, so a
+task that runs again, over rows in whatever order, leaves nothing behind that counts. The data source
+``media_archive`` plans partitions as byte ranges over the archives of the manifest: a member belongs
+to the range its header begins in, and an index must hold as many members as the manifest says.
 A reader streams members in Arrow batches of bounded size. A member that can't be read is tried
 again by its own offset, through a newly opened file; the rest of the range isn't read again.
 """
@@ -40,6 +42,7 @@ BATCH_BYTES = 4 << 20
 #: Attempts to read one member.
 TRIES = 4
 PNG = b"\x89PNG\r\n\x1a\n"
+MANIFEST = "archive string, bytes long, members long"
 INDEX = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("offset", pa.int64()), ("size", pa.int64())])
 READ = "doc_id long, n_bytes long, archive string, offset long, media binary"
 
@@ -85,6 +88,20 @@ def from_png(media: bytes) -> bytes:
     return rows[:, 1:].tobytes()
 
 
+def check_png(media: bytes) -> None:
+    """Raises ValueError or struct.error unless all chunks are there with their checksums; nothing is decompressed."""
+    if media[:8] != PNG:
+        raise ValueError("not a PNG")
+    at, kind = 8, b""
+    while at < len(media):
+        (n,), kind = struct.unpack_from(">I", media, at), media[at + 4 : at + 8]
+        if zlib.crc32(media[at + 4 : at + 8 + n]) != struct.unpack_from(">I", media, at + 8 + n)[0]:
+            raise ValueError(f"checksum of {kind!r}")
+        at += 12 + n
+    if kind != b"IEND":
+        raise ValueError("no end")
+
+
 def feature(payload: bytes) -> str:
     """Mean, deviation, entropy in bits and the share of equal neighbours of the samples, in thousandths."""
     data = np.frombuffer(payload, np.uint8)
@@ -129,16 +146,24 @@ class Archive:
         return os.path.basename(self.final), self.at, len(self.rows)
 
 
+class Incomplete(RuntimeError):
+    """The archives hold another number of members than the table has rows."""
+
+
 def write_archives(docs: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Store every row's text as a member of an archive below the folder, without a shuffle."""
+    """Store every row's text as a member of an archive below the folder, without a shuffle, and the manifest of the archives.
+
+    The folder may be used already: its manifest is replaced, and archives that aren't in it are
+    ignored. Raises ``Incomplete`` unless there are as many members as rows.
+    """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, n, now, done = TaskContext.get().partitionId(), 0, None, []
+        part, n, now, done, mark = TaskContext.get().partitionId(), 0, None, [], uuid.uuid4().hex[:12]
         for batch in batches:
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                now = now or Archive(folder, f"part-{part:06d}-{len(done):05d}")
+                now = now or Archive(folder, f"part-{part:06d}-{len(done):05d}-{mark}")
                 size, payload = payload_of(value.as_py())
                 now.add(f"{n:09d}.png", key, size, to_png(payload))
                 n += 1
@@ -151,12 +176,15 @@ def write_archives(docs: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, i
     store, root = opened(folder)
     store.create_dir(root, recursive=True)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows.mapInArrow(write, "archive string, bytes long, members long").agg(F.sum("members")).collect()  # one number
+    rows.mapInArrow(write, MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
+    stored = session_of(docs).read.schema(MANIFEST).parquet(f"{folder}/manifest").agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    if stored != (wanted := docs.select(id_col).count()):
+        raise Incomplete(f"{stored} members of {wanted} rows")
 
 
 class ByteRange(InputPartition):
-    def __init__(self, archive: str, start: int, end: int) -> None:
-        self.archive, self.start, self.end = archive, start, end
+    def __init__(self, archive: str, start: int, end: int, members: int) -> None:
+        self.archive, self.start, self.end, self.members = archive, start, end, members
 
 
 class ArchiveReader(DataSourceReader):
@@ -166,10 +194,12 @@ class ArchiveReader(DataSourceReader):
         self.tries, self.wait = int(options.get("tries", TRIES)), float(options.get("wait", 0.2))
 
     def partitions(self) -> list[InputPartition]:
-        """Names and sizes only are read here; no archive is opened."""
+        """The manifest only is read here; no archive is opened."""
         store, root = opened(self.folder)
-        found = sorted((x.base_name, x.size) for x in store.get_file_info(fs.FileSelector(root)) if x.base_name.endswith(".tar") and not x.base_name.startswith("."))
-        return [ByteRange(name, at, min(at + self.range_bytes, size)) for name, size in found for at in range(0, size, self.range_bytes)] or [ByteRange("", 0, 0)]
+        files = [x.path for x in store.get_file_info(fs.FileSelector(f"{root}/manifest")) if x.base_name.endswith(".parquet")]
+        rows = [r for path in files for r in pq.read_table(path, filesystem=store).to_pylist()]
+        found = sorted((r["archive"], r["bytes"], r["members"]) for r in rows)
+        return [ByteRange(name, at, min(at + self.range_bytes, size), n) for name, size, n in found for at in range(0, size, self.range_bytes)] or [ByteRange("", 0, 0, 0)]
 
     def member(self, store: fs.FileSystem, path: str, held: list, offset: int, size: int) -> bytes:
         """The member whose header begins there. ``held`` keeps the open file; it's opened anew after a failure."""
@@ -182,7 +212,7 @@ class ArchiveReader(DataSourceReader):
                 head = tarfile.TarInfo.frombuf(data[:512], "utf-8", "surrogateescape")
                 if len(data) != 512 + size or head.size != size:
                     raise OSError(f"short read at {offset}")
-                from_png(data[512:])
+                check_png(data[512:])
                 return data[512:]
             except (OSError, ValueError, struct.error, zlib.error, tarfile.HeaderError):
                 if held:
@@ -197,6 +227,8 @@ class ArchiveReader(DataSourceReader):
             return
         store, root = opened(self.folder)
         path = f"{root}/{partition.archive}"
+        if (n := pq.read_metadata(f"{path}.idx", filesystem=store).num_rows) != partition.members:
+            raise Incomplete(f"{partition.archive}: {n} members of {partition.members}")
         index = pq.read_table(f"{path}.idx", filesystem=store, filters=[("offset", ">=", partition.start), ("offset", "<", partition.end)])
         held, out, size = [], [], 0
         names, types = [x.split()[0] for x in READ.split(", ")], [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
@@ -249,7 +281,8 @@ def media_features(docs: DataFrame, folder: str | None = None) -> DataFrame:
 
     A null text counts as empty, and an empty payload is one unit of zeros. Null ids and repeated
     rows are members of their own; equal texts give equal values. Other columns are ignored; no rows
-    give no rows. A member that stays unreadable raises: rows are never left out.
+    give no rows. A text of any length is one member; it is held by one task, a few times over. A
+    member that stays unreadable raises: rows are never left out.
     """
     spark = session_of(docs)
     folder = folder or work_dir(spark, "media")

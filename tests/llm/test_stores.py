@@ -2,7 +2,9 @@
 
 import hashlib
 import io
+import math
 import random
+import struct
 import sys
 import zlib
 from bisect import bisect_right
@@ -148,32 +150,89 @@ def test_mix_without_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, mixing.mix(docs).collect())) == wanted
 
 
+def plain_png(data):
+    """Another reader: chunks one after the other, every filter of the standard undone, one sample at a time."""
+    assert data[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    chunks, rest = [], data[8:]
+    while rest:
+        n = int.from_bytes(rest[:4], "big")
+        assert zlib.crc32(rest[4 : 8 + n]) == int.from_bytes(rest[8 + n : 12 + n], "big")
+        chunks.append((rest[4:8], rest[8 : 8 + n]))
+        rest = rest[12 + n :]
+    assert chunks[0][0] == b"IHDR" and chunks[-1] == (b"IEND", b"")
+    wide, high = (int.from_bytes(chunks[0][1][i : i + 4], "big") for i in (0, 4))
+    assert chunks[0][1][8:] == bytes([8, 0, 0, 0, 0])  # 8-bit samples, grey, not interlaced
+    raw = zlib.decompress(b"".join(x for kind, x in chunks if kind == b"IDAT"))
+    out, above = bytearray(), bytes(wide)
+    assert len(raw) == high * (wide + 1)
+    for y in range(high):
+        kind, row = raw[y * (wide + 1)], bytearray(raw[y * (wide + 1) + 1 : (y + 1) * (wide + 1)])
+        for x in range(wide):
+            a, b = row[x - 1] if x else 0, above[x]
+            row[x] = (row[x] + {0: 0, 1: a, 2: b, 3: (a + b) // 2}[kind]) % 256
+        out += row
+        above = bytes(row)
+    return bytes(out)
+
+
+def plain_feature(data):
+    n, mean = len(data), sum(data) / len(data)
+    spread = math.sqrt(sum((x - mean) ** 2 for x in data) / n)
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(data).values())
+    flat = sum(a == b for a, b in zip(data, data[1:])) / (n - 1)
+    return [1000 * x for x in (mean, spread, entropy, flat)]
+
+
 def test_png_round_trip():
     for n in (64, 640, 64 * 999):
         payload = random.Random(n).randbytes(n)
-        assert media.from_png(media.to_png(payload)) == payload
-    with pytest.raises(ValueError):
-        media.from_png(b"no image")
+        assert media.from_png(media.to_png(payload)) == plain_png(media.to_png(payload)) == payload
+        media.check_png(media.to_png(payload))
+    bad = bytearray(media.to_png(bytes(64)))
+    bad[50] ^= 1
+    for wrong in (b"no image", bytes(bad), media.to_png(bytes(64))[:-12]):
+        with pytest.raises((ValueError, struct.error)):
+            media.check_png(wrong)
     with pytest.raises(ValueError):
-        bad = bytearray(media.to_png(bytes(64)))
-        bad[50] ^= 1
         media.from_png(bytes(bad))
 
 
 def test_media(spark):
-    rows = list(enumerate(ODD)) + [(None, "n"), (3, "a"), (3, "a")]
+    rows = list(enumerate(ODD)) + [(None, "n"), (3, "a"), (3, "a"), (50, "long é " * 50_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("media", F.lit("m")).repartition(3)
-    found = media.media_features(docs).collect()
+    folder = work_dir(spark, "media-test")
+    media.media_features(docs.limit(5), folder).count()
+    found = media.media_features(docs, folder).collect()  # what lies in the folder already doesn't count
+    stored = {}
+    for r in spark.read.format("media_archive").load(folder).collect():
+        stored[hashlib.sha256(r.media).hexdigest()] = bytes(r.media)
     wanted = Counter()
     for key, text in rows:
-        n, payload = media.payload_of(text or "")
-        assert len(payload) % 64 == 0 and len(payload) >= 64 and payload.rstrip(b"\0") == (text or "").encode().rstrip(b"\0")
-        png = media.to_png(payload)
-        wanted[key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(png), hashlib.sha256(png).hexdigest(), media.feature(payload)] += 1
-    assert Counter(map(tuple, found)) == wanted
+        data = (text or "").encode()
+        payload = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
+        wanted[key, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])] += 1
+    assert Counter(tuple(r)[:5] for r in found) == wanted
+    for r in found:
+        payload = plain_png(stored[r.media_sha256])
+        assert (hashlib.sha256(payload).hexdigest(), len(stored[r.media_sha256])) == (r.payload_sha256, r.media_bytes)
+        assert all(abs(float(x.split("=")[1]) - y) <= 0.5001 for x, y in zip(r.feature.split(","), plain_feature(payload), strict=True))
+    assert len({(r.payload_sha256, r.media_sha256, r.feature) for r in found}) == len({r.payload_sha256 for r in found})
     assert not media.media_features(docs.limit(0)).count()
 
 
+def test_media_that_misses_members(spark):
+    folder = work_dir(spark, "media-test")
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    media.write_archives(docs, folder)
+    store, root = media.opened(folder)
+    name = media.ArchiveReader({"path": folder}).partitions()[0].archive
+    index = media.pq.read_table(f"{root}/{name}.idx", filesystem=store)
+    media.pq.write_table(index.slice(1), f"{root}/{name}.idx", filesystem=store)
+    spark.dataSource.register(media.MediaArchives)
+    with pytest.raises(Exception, match="Incomplete"):
+        spark.read.format("media_archive").load(folder).collect()
+
+
 def test_media_ranges_and_retries(spark, monkeypatch):
     folder = work_dir(spark, "media-test")
     docs = spark.createDataFrame([(i, f"text {i} " * 40) for i in range(200)], "doc_id long, text string")
