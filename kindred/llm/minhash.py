@@ -143,7 +143,7 @@ def _sketcher(k: int, rows: int, words: int):
             offsets = np.zeros(len(made) + 1, np.int32)
             np.cumsum([len(x) for x in made], out=offsets[1:])
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(made) if made else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), lists], names=["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), lists], names=["doc_id", "node", "row", "bands"])
 
     return sketch
 
@@ -176,8 +176,8 @@ def by_id(left: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame
 
 
 def shingle_sets(nodes: DataFrame, docs: DataFrame, places: DataFrame, words: int) -> DataFrame:
-    """node, keys, weights of the given nodes. places: node, first (a doc_id with that text)."""
-    wanted = materialize(nodes.distinct().join(places, "node").select("node", F.coalesce("first", F.lit(-1)).alias("key")), "wanted")
+    """node, keys, weights of the given nodes. places: node, first (with a doc_id that has that text; any row with the text will do)."""
+    wanted = materialize(nodes.distinct().join(places, "node").select("node", F.coalesce("first.doc_id", F.lit(-1)).alias("key")), "wanted")
     found = by_id(docs.select(F.coalesce("doc_id", F.lit(-1)).alias("key"), node_of(F.col("text")).alias("node"), "text"), wanted, ["key", "node"], "left_semi")
     return materialize(found.select("node", "text").mapInArrow(_packer(words), "node long, keys binary, weights binary").dropDuplicates(["node"]), "shingles")
 
@@ -254,18 +254,21 @@ def ordered(x: str, y: str) -> tuple[Column, Column]:
 
 
 def classes(docs: DataFrame, k: int = COORDINATES, rows: int = ROWS, words: int = WORDS, least: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, node, component, class_id for each row; class_id is the smallest doc_id of the row's class.
+    """doc_id, node, component, class_id, kept for each row.
 
-    Classes are the connected components of: equal texts, and texts whose weighted Jaccard
-    similarity over ``words``-word shingles is at least ``least``. A null text counts as empty;
+    class_id is the smallest doc_id of the row's class; ``kept`` holds for one row of each class, one
+    with that doc_id. Classes are the connected components of: equal texts, and texts whose weighted
+    Jaccard similarity over ``words``-word shingles is at least ``least``. A null text counts as empty;
     texts without words are alike only if equal. Texts of fewer words than a shingle are one
-    shingle. A null id takes part; a class with null ids only has a null class_id. Repeated rows
-    are in one class. Other columns are ignored; no rows give no rows.
+    shingle, and texts of any length are taken whole. A null id takes part and is the greatest; a
+    class with null ids only has a null class_id. Repeated rows are in one class, and which of them
+    is kept doesn't matter. Other columns are ignored; no rows give no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    sketched = docs.select("doc_id", "text", node_of(F.col("text")).alias("node")).mapInArrow(_sketcher(k, rows, words), "doc_id long, node long, bands array<long>")
-    sketched = materialize(sketched, "sketches")
-    places = materialize(sketched.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("bands").alias("bands")), "texts")
+    told = docs.select("doc_id", "text", node_of(F.col("text")).alias("node"), F.monotonically_increasing_id().alias("row"))
+    sketched = materialize(told.mapInArrow(_sketcher(k, rows, words), "doc_id long, node long, row long, bands array<long>"), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row"))
+    places = materialize(sketched.groupBy("node").agg(first.alias("first"), F.any_value("bands").alias("bands")), "texts")
     banded = places.select("node", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min(F.xxhash64("node", "band")).alias("h"), F.count("*").alias("n")).where("n > 1")
     members = materialize(banded.join(shared, "band").select("band", "node", "h"), "buckets")
@@ -298,26 +301,28 @@ def classes(docs: DataFrame, k: int = COORDINATES, rows: int = ROWS, words: int
     tied = materialize(components(stars.union(verified(more, sets, least))), "components")
 
     named = places.join(tied, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
-    of_class = named.groupBy("component").agg(F.min("first").alias("class_id"))
-    named = materialize(named.join(of_class, "component").select("node", "component", "class_id"), "classes")
-    return sketched.select("doc_id", "node").join(named, "node").select("doc_id", "node", "component", "class_id")
+    least_row = F.min(F.struct("first.z", "first.doc_id", "node", "first.row")).alias("l")
+    of_class = named.groupBy("component").agg(least_row).select("component", F.col("l.doc_id").alias("class_id"), F.col("l.row").alias("keeper"))
+    named = materialize(named.join(of_class, "component").select("node", "component", "class_id", "keeper"), "classes")
+    return sketched.select("doc_id", "node", "row").join(named, "node").select("doc_id", "node", "component", "class_id", (F.col("row") == F.col("keeper")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
-    """The documents with one row of each class: of the smallest doc_id, and one of repeated rows."""
+    """The documents with one row of each class, the one that ``classes`` keeps. Columns may have any names: they are numbered meanwhile."""
     found = materialize(classes(docs, **how), "doc-classes")
-    counted = found.groupBy("component", "class_id", "node", "doc_id").agg(F.count("*").alias("n"))
-    first = counted.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    keep = materialize(first.groupBy("component", "class_id").agg(F.min(F.struct("node", "n")).alias("k")).select("class_id", "k.*"), "kept")
-    key, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), text_or_empty()
-    rows = docs.withColumn("_kindred_key", key).withColumn("_kindred_node", node_of(text))
-    ids = keep.select(F.coalesce("class_id", F.lit(-1)).alias("_kindred_key"), F.col("node").alias("_kindred_node"))
-    kept = rows.join(F.broadcast(ids) if ids.count() <= SMALL else ids, ["_kindred_key", "_kindred_node"], "left_semi")
-    if keep.where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["_kindred_key", "_kindred_node"])
-    return kept.select(*docs.columns)
+    counted = found.groupBy("doc_id", "node").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept"))
+    keep = materialize(counted.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node"), "n"), "kept")
+    names = docs.columns
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    rows = numbered.withColumn("id", F.col(f"c{names.index('doc_id')}").cast("long")).withColumn("node", node_of(text_or_empty(f"c{names.index('text')}")))
+    ids = keep.select("kept_id", "kept_node")
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("node") == F.col("kept_node"))
+    kept = rows.join(F.broadcast(ids) if ids.count() <= SMALL else ids, same, "left_semi")
+    if keep.where("n > 1").limit(1).count():  # rows equal in id and text
+        kept = kept.dropDuplicates(["id", "node"])
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
-    """Every document's class; ``kept`` marks the one that stays."""
-    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    """Every document's class; ``kept`` marks the one row of it that stays."""
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")

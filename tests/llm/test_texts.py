@@ -77,6 +77,58 @@ def test_classes_of_nulls_and_repeats(spark):
     assert not minhash.classes(docs.limit(0)).count() and not minhash.deduplicated(docs.limit(0)).count()
 
 
+def test_one_row_of_a_class_is_kept(spark):
+    rows = [(-1, "a b c d e f"), (None, "a b c d e f"), (None, "only nulls"), (None, "only nulls"), (4, "twice"), (4, "twice"), (5, "x y z"), (6, "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = minhash.classes(docs).collect()
+    kept = Counter((r.component, r.doc_id) for r in found if r.kept)
+    assert sorted(kept.values()) == [1] * len({r.component for r in found}) and {k for _, k in kept} == {-1, None, 4, 5}
+    odd = docs.withColumn("a.b", F.lit(1)).withColumn("node", F.lit("n")).withColumn("_kindred_key", F.lit("k")).withColumn("id", F.lit(2))
+    left = minhash.deduplicated(odd)
+    assert left.columns == odd.columns and {tuple(r)[2:] for r in left.collect()} == {(1, "n", "k", 2)}
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(-1, "a b c d e f"), (0, "only nulls"), (4, "twice"), (5, "x y z")]
+
+
+def postings_classes(texts):
+    """Components of equal texts and of all pairs that are similar enough, found by summing over the postings of every shingle."""
+    distinct = {}
+    for i, t in enumerate(texts):
+        distinct.setdefault(t or "", []).append(i)
+    keys = list(distinct)
+    sets = [dict(zip(a.tolist(), b.tolist(), strict=True)) for a, b in minhash.weighted(keys)]
+    sums, parent, links = [sum(x.values()) for x in sets], list(range(len(keys))), 0
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    postings = defaultdict(list)
+    for i, held in enumerate(sets):
+        shared = defaultdict(float)
+        for e, w in held.items():
+            for j, x in postings[e]:
+                shared[j] += min(w, x)
+            postings[e].append((i, w))
+        for j, low in shared.items():
+            if low / (sums[i] + sums[j] - low) >= 0.8:
+                links += 1
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    least = defaultdict(list)
+    for k, t in enumerate(keys):
+        least[find(k)] += distinct[t]
+    return {i: min(ids) for ids in least.values() for i in ids}, links
+
+
+def test_classes_of_a_whole_table(spark):
+    """No class of the documents of sf0.01 is missed, against all pairs that share a shingle."""
+    rows = sorted(map(tuple, spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()))
+    wanted, links = postings_classes([t for _, t in rows])
+    found = {r.doc_id: r.class_id for r in minhash.op2_near_dedup(spark, "/root/testdata/sf0.01").collect()}
+    assert links >= 5 and found == {rows[i][0]: rows[c][0] for i, c in wanted.items()}
+
+
 def test_signatures_estimate_similarity():
     rng = random.Random(2)
     for size in (8, 60, 900):
