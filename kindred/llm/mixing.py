@@ -1,6 +1,8 @@
 r"""Mixing sources to target weights with hash-threshold histograms.
 
-A row's place is a hash of its id and size, read as hexadecimal digits. Words are summed by source
+A row's place is a hash of its id, size, source and text, read as hexadecimal digits; rows equal in
+all of these are told apart by their number, so that a source of equal rows has as many places as
+rows. Words are summed by source
 and the first three digits; the running sums of these histograms tell in which bucket a source's
 budget ends. Only that bucket is counted again by the next three digits. What lies below the
 threshold found is taken: no rows are sorted, and the histograms are at most 4096 rows a source.
@@ -30,8 +32,32 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def place_of(key: Column, size: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), size.cast("string")))
+def place_of(key: Column, size: Column, source: Column, text: Column) -> Column:
+    parts = [F.coalesce(key.cast("string"), F.lit("")), size.cast("string"), F.md5(F.coalesce(text, F.lit(""))), F.coalesce(F.concat(F.lit("="), source), F.lit(""))]
+    return F.md5(F.concat_ws(":", *parts))
+
+
+def untied(rows: DataFrame) -> DataFrame | None:
+    """The rows with places of their own: of rows that share one, the second and later get one of its hash with their number. None if there are no such rows.
+
+    Their numbers come from counts by (place, task) and ranks within these, so that a third of all
+    rows may be equal.
+    """
+    code = F.xxhash64("place").alias("code")
+    ties = materialize(rows.groupBy(code).agg(F.count("*").alias("n")).where("n > 1").select("code"), "mix-ties")
+    if not (n := ties.count()):
+        return None
+    tied = F.broadcast(ties) if n <= SMALL else ties
+    coded = rows.select("*", code)
+    many = materialize(coded.join(tied, "code", "left_semi").withColumn("part", F.spark_partition_id()), "mix-tied")
+    before = Window.partitionBy("place").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = many.groupBy("place", "part").agg(F.count("*").alias("n"))
+    first = counts.select("place", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("place", "part").orderBy("code"))
+    numbered = many.withColumn("own", own).join(first, ["place", "part"]).withColumn("nth", F.col("own") + F.col("before"))
+    new = F.when(F.col("nth") == 1, F.col("place")).otherwise(F.md5(F.concat_ws(":", "place", F.col("nth").cast("string"))))
+    numbered = numbered.withColumn("place", new).select(*rows.columns)
+    return materialize(coded.join(tied, "code", "left_anti").select(*rows.columns).unionByName(numbered), "mix-rows")
 
 
 def short(place: str = "place") -> Column:
@@ -122,10 +148,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, i
 
     A null text has size 0; null is a source like others, the last; a null id has a place like
     others. Rows of size 0 give nothing and are taken ``repeats`` times or once more like the rest.
-    Rows equal in id and size share a place and are taken alike. No rows give no rows.
+    Repeated rows are taken one by one; which of them doesn't matter. Texts of any length are counted
+    whole. Other columns are ignored; no rows give no rows.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    rows = materialize(rows.withColumn("place", place_of(F.col("doc_id"), F.col("size"))), "mix-rows")
+    size, source = word_count(F.col(text_col)), F.col(source_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), size.alias("size"), place_of(F.col(id_col), size, source, F.col(text_col)).alias("place"))
+    rows = materialize(rows, "mix-rows")
+    rows = untied(rows) or rows
     taken = with_small(rows, thresholds(rows, weights, most))
     taken = taken.withColumn("times", times_of().cast("long"))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", "source", "place")
@@ -135,8 +164,11 @@ def mixed(docs: DataFrame) -> DataFrame:
     """The documents themselves, each as often as the mix takes it. Columns may have any names: they are numbered meanwhile."""
     numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     key, text, source = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text", "source"))
-    placed = numbered.withColumn("source", source).withColumn("size", word_count(text)).withColumn("place", place_of(key, F.col("size")))
+    placed = numbered.withColumn("source", source).withColumn("size", word_count(text)).withColumn("place", place_of(key, F.col("size"), source, text))
     rows = materialize(placed.select("source", "size", "place"), "mix-rows")
+    if untied(rows) is not None:
+        placed = untied(placed)
+        rows = placed.select("source", "size", "place")
     full = with_small(placed, thresholds(rows)).withColumn("copy", F.explode(F.array_repeat(F.lit(1), times_of().cast("int"))))
     return full.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
@@ -147,9 +179,12 @@ def op7_mix(spark, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH rows AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), tied AS (
+  SELECT doc_id, source, size, md5(coalesce(doc_id::VARCHAR, '') || ':' || size::VARCHAR || ':' || md5(coalesce(text, '')) || ':' || coalesce('=' || source, '')) AS place FROM rows
 ), placed AS (
-  SELECT *, md5(coalesce(doc_id::VARCHAR, '') || ':' || size::VARCHAR) AS place FROM rows
+  SELECT doc_id, source, size, CASE WHEN nth = 1 THEN place ELSE md5(place || ':' || nth::VARCHAR) END AS place
+  FROM (SELECT *, row_number() OVER (PARTITION BY place) AS nth FROM tied)
 ), sizes AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM placed GROUP BY source
 ), nth AS (

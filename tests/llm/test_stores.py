@@ -143,6 +143,21 @@ def test_mix(spark):
     assert Counter(r.doc_id for r in many.collect()) == Counter({r.doc_id: r.times for r in found if r.times})
 
 
+def test_equal_rows_are_taken_one_by_one(spark):
+    """A source of null ids, of one size, and of wholly equal rows still comes near its target, whatever the layout."""
+    rows = [(None, f"w{i} b c d", "a") for i in range(300)] + [(7, "same five words as ever", "b")] * 3000 + [(i, "w " * (i % 50), "c") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(docs).collect()
+    goal, taken = {r.source: r.target for r in found}, Counter()
+    for r in found:
+        taken[r.source] += r.taken
+        assert r.taken <= 3 * r.size
+    assert all(abs(taken[s] - goal[s]) <= 5 for s in goal) and len({r.times for r in found if r.source == "b"}) == 2
+    again = Counter(tuple(r)[:5] for r in mixing.mix(docs.repartition(5)).collect())
+    assert again == Counter(tuple(r)[:5] for r in found)
+    assert Counter((r.doc_id, r.source) for r in mixing.mixed(docs).collect()) == sum((Counter({(r.doc_id, r.source): r.times}) for r in found), Counter())
+
+
 def test_mix_without_broadcast(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     wanted = sorted(map(tuple, mixing.mix(docs).collect()))

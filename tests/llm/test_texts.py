@@ -370,6 +370,62 @@ def test_fit_separates_grades():
     assert keep[held == 2].mean() > 0.98 and keep[held == 0].mean() < 0.05
 
 
+def test_gradient_is_that_of_the_likelihood():
+    """By differences, of a likelihood that is also written out document by document."""
+    rng = np.random.default_rng(3)
+    n, m = 60, 7
+    row, col = np.repeat(np.arange(n), 3), rng.integers(0, m, 3 * n)
+    grades = rng.integers(0, 4, n)
+    loss = quality.Likelihood(row, col, grades, m, 4, 0.05)
+    x = np.concatenate([rng.normal(size=m), [-0.5], rng.normal(size=2) / 2])
+    total = 0.0
+    for i in range(n):
+        score = sum(x[c] for c in col[row == i])
+        below = [0.0, *(1 / (1 + np.exp(score - t)) for t in (x[m], x[m] + np.exp(x[m + 1]), x[m] + np.exp(x[m + 1]) + np.exp(x[m + 2]))), 1.0]
+        total -= np.log(below[grades[i] + 1] - below[grades[i]])
+    assert loss.value(x) == pytest.approx(total / n + 0.05 / np.sqrt(n) / 2 * sum(w * w for w in x[:m]))
+    step = 1e-6 * np.eye(len(x))
+    plain = [(loss.value(x + d) - loss.value(x - d)) / 2e-6 for d in step]
+    assert loss.gradient(x) == pytest.approx(plain, abs=1e-6)
+
+
+def test_fit_is_at_the_minimum():
+    rng = random.Random(17)
+    grades = np.array([rng.choice([0, 1, 2]) for _ in range(300)])
+    texts = [" ".join([*words(10, rng, 40), *(["odd"] if rng.random() < (0.8, 0.4, 0.05)[g] else [])]) for g in grades]
+    ids = quality.features(texts)
+    model = quality.fit(ids, grades, rounds=4000, rate=0.02)
+    used = np.flatnonzero(model.weights)
+    place = {u: i for i, u in enumerate(used)}
+    entries = [(i, place[x]) for i, held in enumerate(ids) for x in held.tolist() if x in place]
+    loss = quality.Likelihood(*map(np.array, zip(*entries, strict=True)), grades, len(used), 3, 0.0002)
+    at = np.concatenate([model.weights[used], model.thresholds[:1], np.log(np.diff(model.thresholds))])
+    assert len(used) and np.abs(loss.gradient(at)).max() < 1e-2
+    others = np.random.default_rng(1)
+    assert all(loss.value(at) <= loss.value(at + others.normal(size=len(at)) / 3) for _ in range(50))
+
+
+def test_the_draw_and_the_query(spark, monkeypatch):
+    """The same rows whatever the layout; repeated ids count once; the query is the model, text by text."""
+    grades = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(2).alias("grade"))
+    first, again = ({r.doc_id for r in quality.drawn(grades.repartition(p), 300).collect()} for p in (1, 6))
+    assert first == again and len(first) == 300
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    graded = quality.graded(labels)
+    model, twice = quality.train(docs, graded), quality.train(docs.union(docs).repartition(5), graded)
+    assert (model.weights == twice.weights).all() and (model.thresholds == twice.thresholds).all()
+    known, wanted = {r.doc_id: r.text for r in docs.collect()}, {}
+    rows = sorted((r.doc_id, r.grade) for r in graded.collect())
+    plain = quality.fit(quality.features([known[k] for k, _ in rows]), np.array([g for _, g in rows]))
+    for key, text in known.items():
+        score = sum(plain.weights[i] for i in quality.features([text])[0])
+        tails = [1 / (1 + np.exp(t - score)) for t in plain.thresholds]
+        wanted[key] = (round(sum(tails), 5), round(tails[-1], 5), bool(tails[-1] >= 0.7))
+    found = {r.doc_id: (round(r.expected_grade, 5), round(r.tail, 5), r.kept) for r in quality.op10_ordinal_quality(spark, sf).collect()}
+    assert found.keys() == wanted.keys() and all(found[k][2] == w[2] and found[k][:2] == pytest.approx(w[:2], abs=3e-5) for k, w in wanted.items())
+
+
 def test_quality_on_documents(spark):
     """Held-out accuracy: the labels of half of the documents fit the model, the others judge it."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
