@@ -1,14 +1,17 @@
 """Licence scans with a positional index of rare words.
 
 Every template is a list of words, some runs of which are mandatory. Over all files it is counted how
-many hold each of the templates' words; of each template the words of highest IDF, and their
-positions, go into the index. A file's indexed words vote for (template, start): the postings of one
-template are intersected by relative position. What enough rare words agree on is verified: the
-mandatory runs must stand there, and the share of the template's words in place is the score.
+many hold each of the templates' words. The index has the postings (template, position) of the rare
+words: those that few files hold, and of each template at least a few of its rarest. Of a file, the
+licence words of highest IDF are looked up; their postings are intersected by relative position, so
+that they vote for (template, start). What enough words agree on is verified: the mandatory runs
+must stand there, and the share of the template's words in place is the score. A base phrase is
+looked up by its rarest word in every file, and one word is enough: its places are found all.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter, defaultdict
@@ -20,33 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kindred.llm.common import table, text_or_empty
+from kindred.llm.notices import BASE, NOTICES
 
 #: Lower-cased bytes of a word: digits, letters, and all bytes of characters beyond ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Indexed words of a template, those of highest IDF.
-RARE = 4
-#: So many of them must agree on a start (all of them, in a template with fewer).
+#: Words that at most this share of the files hold are rare; of each template at least so many words of highest IDF are indexed.
+COMMON, RARE = 0.02, 4
+#: A file's licence words that are looked up, those of highest IDF.
+LOOKED_UP = 32
+#: So many of them must agree on a start (all of a template's indexed words, if it has fewer).
 AGREE = 2
-#: Base phrases and their labels: found wherever they stand whole.
-BASE = {"cc-by": "cc by", "gpl": "general public license", "reserved": "all rights reserved"}
-#: Notices and their mandatory phrases, by label: fixed wordings of public licences.
-NOTICES = {
-    "agpl-3.0": ("licensed under the gnu affero general public license version 3", ("affero general public license",)),
-    "apache-2.0": ("licensed under the apache license version 2 0", ("apache license",)),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use", "binary forms")),
-    "cc-by-4.0": ("licensed under cc by 4 0", ("cc by 4 0",)),
-    "cc-by-nc-4.0": ("licensed under cc by nc 4 0", ("cc by nc",)),
-    "cc-by-sa-4.0": ("licensed under cc by sa 4 0", ("cc by sa",)),
-    "cc0": ("to the extent possible under law the author has waived all copyright", ("waived all copyright",)),
-    "gpl-2.0": ("licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
-    "gpl-3.0": ("licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
-    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee", ("with or without fee",)),
-    "lgpl": ("licensed under the gnu lesser general public license", ("lesser general public license",)),
-    "mit": ("released under the mit license", ("mit license",)),
-    "mit-text": ("permission is hereby granted free of charge to any person obtaining a copy of this software", ("hereby granted free of charge",)),
-    "mpl-2.0": ("subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    "unlicense": ("this is free and unencumbered software released into the public domain", ("unencumbered software",)),
-}
 
 
 def words_of(text: str) -> list[bytes]:
@@ -62,6 +48,10 @@ class Template:
     needs: tuple[tuple[int, tuple[bytes, ...]], ...]
     base: bool
 
+    def stands(self, words: list[bytes], start: int) -> bool:
+        """Whether the mandatory runs are there, if the template began at that word."""
+        return all(start + at >= 0 and tuple(words[start + at : start + at + len(run)]) == run for at, run in self.needs)
+
 
 def templates(base: dict[str, str] = BASE, notices: dict[str, tuple[str, tuple[str, ...]]] = NOTICES) -> list[Template]:
     out = []
@@ -92,33 +82,41 @@ def document_counts(docs: DataFrame, vocabulary: frozenset[bytes]) -> tuple[int,
 
 
 class Index:
-    """Postings of the templates' rarest words."""
-
-    def __init__(self, known: list[Template], files: int, counts: dict[bytes, int], rare: int = RARE, agree: int = AGREE) -> None:
-        self.known, self.agree = known, []
-        idf = lambda w: math.log((1 + files) / (1 + counts.get(w, 0)))
-        self.postings: dict[bytes, list[tuple[int, int, int]]] = defaultdict(list)
+    """Postings of the templates' rare words."""
+
+    def __init__(self, known: list[Template], files: int, counts: dict[bytes, int], rare: int = RARE, agree: int = AGREE, looked_up: int = LOOKED_UP) -> None:
+        self.known, self.agree, self.looked_up = known, [], looked_up
+        idf = {w: math.log((1 + files) / (1 + counts.get(w, 0))) for t in known for w in t.words}
+        least = -math.log(COMMON)
+        self.rank = {w: i for i, w in enumerate(sorted(idf, key=lambda w: (-idf[w], w)))}
+        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        self.anchors: set[bytes] = set()
         for t, template in enumerate(known):
-            best = sorted(set(template.words), key=lambda w: (-idf(w), w))[: 1 if template.base else rare]
-            self.agree.append(min(agree, len(best)))
-            for nth, word in enumerate(best):
-                for place, other in enumerate(template.words):
-                    if other == word:
-                        self.postings[word].append((t, place, nth))
+            best = sorted(set(template.words), key=self.rank.get)
+            chosen = set(best[:1]) if template.base else set(best[:rare]) | {w for w in best if idf[w] >= least}
+            if template.base:
+                self.anchors |= chosen
+            self.agree.append(min(agree, len(chosen)))
+            for place, word in enumerate(template.words):
+                if word in chosen:
+                    self.postings[word].append((t, place))
         self.postings = dict(self.postings)
 
     def scan(self, words: list[bytes]) -> list[tuple[int, int, float]]:
         """(template, start, share of its words in place) of all verified places; a notice may be cut at either end."""
-        if self.postings.keys().isdisjoint(words):
+        there = self.postings.keys() & set(words)
+        if not there:
             return []
+        chosen = set(heapq.nsmallest(self.looked_up, there, key=self.rank.get)) | (self.anchors & there)
         votes = defaultdict(set)
         for i, word in enumerate(words):
-            for t, place, nth in self.postings.get(word, ()):
-                votes[t, i - place].add(nth)
+            if word in chosen:
+                for t, place in self.postings[word]:
+                    votes[t, i - place].add(word)
         found = []
         for (t, start), agreed in votes.items():
             template = self.known[t]
-            if len(agreed) >= self.agree[t] and all(start + at >= 0 and tuple(words[start + at : start + at + len(run)]) == run for at, run in template.needs):
+            if len(agreed) >= self.agree[t] and template.stands(words, start):
                 same = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(template.words))
                 found.append((t, start, same / len(template.words)))
         return sorted(found)
@@ -132,8 +130,8 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, tuple[
 
     n_base counts all places of base phrases, first_word and last_word are the least and greatest
     word numbers of their starts (null if none). A null text counts as empty: no words, no labels
-    (empty strings), score 0. Null ids and repeated rows are scanned like any other; other columns
-    are ignored; no rows give no rows.
+    (empty strings), score 0. Null ids and repeated rows are scanned like any other; texts of any
+    length are read whole, by one task each; other columns are ignored; no rows give no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     known = templates(base, notices)

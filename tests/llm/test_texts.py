@@ -358,6 +358,52 @@ def test_license_scan(spark):
     assert not licenses.scan(docs.limit(0)).count()
 
 
+def test_licenses_of_odd_rows(spark):
+    """Null ids, repeated rows, ties, a clashing name and a very long text."""
+    notice = "all rights reserved. released under the mit license"
+    rows = [(None, notice), (1, notice), (1, notice), (2, "filler " * 300_000 + notice)]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("s"))).collect()
+    assert Counter((r.doc_id, r.labels, r.first_word) for r in found) == Counter({(None, "mit,reserved", 0): 1, (1, "mit,reserved", 0): 2, (2, "mit,reserved", 300_000): 1})
+
+
+def brute_labels(words, known):
+    """Labels of the templates whose mandatory runs stand whole at any place."""
+    return {t.label for t in known for start in range(-len(t.words), len(words)) if t.stands(words, start)}
+
+
+def test_recall_of_the_license_index():
+    """Notices whole, cut, interrupted and among each other's words: nothing but what brute force finds, and at least 0.9 of it."""
+    rng, known = random.Random(6), licenses.templates()
+    every = [w for t in known for w in t.words]
+    files = []
+    for _ in range(400):
+        parts = [w.encode() for w in words(rng.randint(0, 40), rng)]
+        for t in rng.sample(known, rng.randint(0, 4)):
+            a, b = sorted(rng.choices(range(len(t.words) + 1), k=2)) if rng.random() < 0.3 else (0, len(t.words))
+            said = list(t.words[a:b])
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                said.insert(rng.randint(0, len(said)), rng.choice(every))
+            parts += said + [rng.choice(every) for _ in range(rng.randint(0, 30))]
+        files.append(parts)
+    counts = Counter(w for f in files for w in set(f))
+    index, wanted, found = licenses.Index(known, len(files), counts), 0, 0
+    for f in files:
+        labels = {known[t].label for t, *_ in index.scan(f)}
+        brute = brute_labels(f, known)
+        assert labels <= brute
+        wanted, found = wanted + len(brute), found + len(labels)
+    assert wanted > 300 and found >= 0.9 * wanted
+    assert all(t.stands(list(t.words), 0) for t in known)
+
+
+def test_license_recall_on_documents(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    known = licenses.templates()
+    wanted = {(k, x) for k, text in docs.items() for x in brute_labels(licenses.words_of(text or ""), known)}
+    found = {(r.doc_id, x) for r in licenses.op9_license_scan(spark, "/root/testdata/sf0.01").collect() for x in r.labels.split(",") if x}
+    assert wanted and found <= wanted and len(found) >= 0.9 * len(wanted)
+
+
 def test_fit_separates_grades():
     rng = random.Random(7)
     text = lambda g: " ".join([*words(60, rng, 300), *(["bad!! %%%"] * 6 if g == 0 else ["rude"] if g == 1 else [])])
