@@ -359,6 +359,8 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = steps[name] = stage(spark, docs, SF).cache()
         assert docs.count()
+    pieces = Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in docs.collect())
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in entry.queries()["pipeline"](spark, SF).collect()) == pieces
     first, second, third, last = steps.values()
     assert first.columns == second.columns == third.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     clean = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 AND toxic = 0").select("doc_id")
@@ -375,6 +377,31 @@ def test_pipeline(spark):
     assert quality.CUT and packing.WINDOW == 2048
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and long texts, ties, repeated rows, an empty table and clashing names, from end to end."""
+    import corpus_pipeline
+
+    rng = random.Random(1)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(40)) for _ in range(12)]
+    rows = [(i, t, "en", "src1", len(t)) for i, t in enumerate(texts)] + [(5, texts[5], "en", "src1", 1)] * 2
+    rows += [(None, texts[0], None, None, None), (None, texts[0] + " more", None, None, None), (20, None, "en", None, 0), (21, "", None, "src2", 0), (22, "long words " * 100_000, "en", "src2", 1), (-1, "m n o", "en", "src1", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, extra in (("documents", lambda d: d.withColumn("size", F.lit("s")).withColumn("a.b", F.lit(1)).withColumn("node", F.lit(None).cast("int"))), ("empty", lambda d: d.limit(0))):
+        folder = tmp_path / name
+        extra(docs).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(0, 1, 0), (1, 1, None), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        found = corpus_pipeline.run(spark, str(folder)).collect()
+        if name == "empty":
+            assert not found
+            continue
+        kept = Counter(r.doc_id for r in found if r.start == 0)
+        assert kept.keys() <= {*range(12), -1, 20, 22} and {0, 5, 22, -1} <= kept.keys()
+        held = Counter()
+        for r in found:
+            held[r.sequence_id] += r.length
+        assert max(held.values()) <= 2048 and sorted(held) == list(range(len(held)))
+
+
 def test_entry_without_the_subpackage(tmp_path):
     import shutil
     import subprocess
