@@ -62,10 +62,13 @@ def number_words(c: Column) -> Column:
 
 
 def windows(text: Column, n: int) -> Column:
-    """All runs of n characters; a shorter text is one, an empty text has none."""
+    """All runs of n characters; a shorter text is one, an empty text has none.
+
+    Each match looks n characters ahead and takes one: a substring by its place would be sought from the text's beginning.
+    """
     size = F.length(text)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
-    return F.when(size > 0, runs).otherwise(nothing())
+    runs = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
+    return F.when(size >= n, runs).when(size > 0, F.array(text)).otherwise(nothing())
 
 
 def char_ngrams(c: Column, n: int = 3) -> Column:
@@ -164,10 +167,13 @@ def name_signatures(name: Column, ascii_form: Column) -> Column:
     )
 
 
-def address_signatures(address: Column) -> Column:
+def signature_words(address: Column) -> Column:
+    """The words that tell something."""
+    return F.filter(tokens(address), lambda w: has_digit(w) | ((F.length(w) >= 4) & ~w.isin(*ADDRESS_STOP)))
+
+
+def address_signatures(nums: Column, words: Column) -> Column:
     """Numbers, words that tell something, the first of these and the first two, and long numbers."""
-    nums = numbers(address)
-    words = F.filter(tokens(address), lambda w: has_digit(w) | ((F.length(w) >= 4) & ~w.isin(*ADDRESS_STOP)))
     return F.array_distinct(
         F.array_compact(
             F.concat(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions import text, tokens
 from kindred.operators.keys import SIGNALS_CHAR, V4, Blocking, prepare, primary_keys, target_keys, vocabulary, vocabulary_by_band
+from kindred.sources.work import materialize
 
 #: Postings kept of a key where long postings are truncated.
 KEEP = 300
@@ -24,14 +25,16 @@ def wanted(targets: DataFrame, primary: DataFrame) -> DataFrame:
     return targets.join(primary.select("sig", "key").distinct(), ["sig", "key"], "left_semi")
 
 
-def within_caps(keys: DataFrame, caps: dict[str, int], default: int = 300) -> DataFrame:
+def within_caps(keys: DataFrame, caps: dict[str, int], default: int = 300, by_hash: bool = False) -> DataFrame:
     """A2, A3, A5: the rows of keys that have no more postings than their signal's cap.
 
     Postings are counted with partial aggregation, so a key with a third of all rows is counted by
-    many tasks; over-full keys are dropped before the join sees them.
+    many tasks; over-full keys are dropped before the join sees them. With ``by_hash`` a key counts
+    whatever its signals, and the least of their caps holds.
     """
-    live = keys.groupBy("sig", "key").agg(F.count("*").alias("n")).where(F.col("n") <= _by_signal(caps, default)).select("sig", "key")
-    return keys.join(live, ["sig", "key"], "left_semi")
+    cap, on = _by_signal(caps, default), ["key"] if by_hash else ["sig", "key"]
+    counts = keys.groupBy(*on).agg(F.count("*").alias("n"), F.min(cap).alias("cap"))
+    return keys.join(counts.where("n <= cap").select(*on), on, "left_semi")
 
 
 def truncated(keys: DataFrame, keep: int = KEEP, order: tuple[str, ...] = ("entity_id",)) -> DataFrame:
@@ -46,12 +49,12 @@ def truncated(keys: DataFrame, keep: int = KEEP, order: tuple[str, ...] = ("enti
     return some.withColumn("place", F.row_number().over(Window.partitionBy("sig", "key").orderBy(*order))).where(F.col("place") <= keep).drop("place")
 
 
-def candidates(primary: DataFrame, targets: DataFrame, signals: tuple[str, ...]) -> DataFrame:
-    """s1_id, target_id, mask, n_signals of every pair that shares a key."""
+def candidates(primary: DataFrame, targets: DataFrame, signals: tuple[str, ...], by_hash: bool = False) -> DataFrame:
+    """s1_id, target_id, mask, n_signals of every pair that shares a key; J2 with ``by_hash``: of any signal, and the primary record's signals count."""
     left = primary.select(F.col("entity_id").alias("s1_id"), "sig", "key")
-    right = targets.select(F.col("entity_id").alias("target_id"), "sig", "key")
+    right = targets.select(F.col("entity_id").alias("target_id"), *([] if by_hash else ["sig"]), "key")
     bit = _by_signal({s: 1 << i for i, s in enumerate(signals)}, 0)
-    pairs = left.join(right, ["sig", "key"]).groupBy("s1_id", "target_id").agg(F.bit_or(bit).alias("mask"))
+    pairs = left.join(right, ["key"] if by_hash else ["sig", "key"]).groupBy("s1_id", "target_id").agg(F.bit_or(bit).alias("mask"))
     return pairs.withColumn("n_signals", F.bit_count("mask").cast("int"))
 
 
@@ -72,7 +75,13 @@ def dealt(primary: DataFrame, targets: DataFrame, most: int = KEEP) -> tuple[Dat
 
 def all_votes(primary: DataFrame, targets: DataFrame) -> DataFrame:
     """The votes of all keys, however full."""
-    return votes(*dealt(primary, targets))
+    return votes(*dealt(materialize(primary, "own-keys"), materialize(targets, "target-keys")))
+
+
+def shared_in_truth(truth: DataFrame, primary: DataFrame, targets: DataFrame) -> DataFrame:
+    """J10 for keys of any fullness: the true pairs whose records share a key. The join starts at the truth, so no block is multiplied out."""
+    left = truth.distinct().join(primary.select(F.col("entity_id").alias("s1_id"), "sig", "key"), "s1_id")
+    return left.join(targets.select(F.col("entity_id").alias("target_id"), "sig", "key"), ["target_id", "sig", "key"], "left_semi").select("s1_id", "target_id").distinct()
 
 
 def known_words(s1: DataFrame, config: Blocking) -> DataFrame | None:
@@ -82,25 +91,34 @@ def known_words(s1: DataFrame, config: Blocking) -> DataFrame | None:
 
         rows = multi_words(s1)
         return vocabulary_by_band(rows.select("entity_id", F.explode(F.concat("names", "addrs")).alias("word")))
-    return None if config.generation == "v4" else vocabulary(s1)
+    return vocabulary(s1) if config.generation in ("v1", "v3") else None
+
+
+def sides(s1: DataFrame, targets: DataFrame, config: Blocking = V4) -> tuple[DataFrame, DataFrame]:
+    """The keys of both sides, as entity_id, sig, key.
+
+    The targets' keys are counted and then joined, so they are written once; texts are read once.
+    """
+    s1, targets = prepare(s1, config.how, config.strip_tld), prepare(targets, config.how, config.strip_tld)
+    known = known_words(s1, config)
+    return primary_keys(s1, config, known), materialize(target_keys(targets, config, known), "target-keys")
 
 
 def block(s1: DataFrame, targets: DataFrame, config: Blocking = V4) -> DataFrame:
     """s1_id, target_id, mask, n_signals: the candidate pairs of primary and secondary records.
 
     The record tables have entity_id, business_name, business_address, country. Null texts count as
-    empty and give no keys. The primary side isn't capped; adaptive execution splits its hot keys.
+    empty and give no keys. The primary side isn't capped; adaptive execution splits its hot keys,
+    each of which meets no more targets than its cap.
     """
-    s1, targets = prepare(s1, config.how, config.strip_tld), prepare(targets, config.how, config.strip_tld)
-    known = known_words(s1, config)
-    own = primary_keys(s1, config, known)
-    return candidates(own, within_caps(wanted(target_keys(targets, config, known), own), config.caps), config.signals)
+    own, posted = sides(s1, targets, config)
+    return candidates(own, within_caps(posted, config.caps, by_hash=config.by_hash), config.signals, config.by_hash)
 
 
-def char_keys(records: DataFrame) -> DataFrame:
+def char_keys(records: DataFrame, how: str = "casefold") -> DataFrame:
     """entity_id, sig, key: the name without legal forms, its padded trigrams, address words and numbers, scoped by country."""
-    name, address = text.name_without_phrases(F.col("business_name")), text.normalize_address(F.col("business_address"))
-    rows = records.select("entity_id", text.country_fold(F.col("country")).alias("country"), name.alias("name"), address.alias("addr"))
+    name, address = text.name_without_phrases(F.col("business_name"), how), text.normalize_address(F.col("business_address"), how)
+    rows = records.select("entity_id", text.country_fold(F.col("country"), how).alias("country"), name.alias("name"), address.alias("addr"))
     parts = {
         "exact_name": F.when(F.col("name") != "", F.array("name")).otherwise(tokens.nothing()),
         "char_name": tokens.padded_ngrams(F.col("name")),
@@ -112,7 +130,7 @@ def char_keys(records: DataFrame) -> DataFrame:
     return rows.select("entity_id", "country", F.explode(F.array_distinct(each)).alias("k")).select("entity_id", "k.sig", F.concat_ws("|", "country", "k.payload").alias("key"))
 
 
-def char_candidates(s1: DataFrame, targets: DataFrame, cap: int = KEEP) -> DataFrame:
+def char_candidates(s1: DataFrame, targets: DataFrame, cap: int = KEEP, how: str = "casefold") -> DataFrame:
     """s1_id, target_id, mask, n_signals of the union of four signals.
 
     Grams, words and numbers of more than ``cap`` targets are dropped, long lists of equal names are
@@ -120,8 +138,8 @@ def char_candidates(s1: DataFrame, targets: DataFrame, cap: int = KEEP) -> DataF
     """
     from kindred.operators.ranking import top
 
-    own = char_keys(s1)
-    posted = wanted(char_keys(targets), own)
+    own, posted = materialize(char_keys(s1, how), "char-keys"), materialize(char_keys(targets, how), "char-keys")
+    posted = wanted(posted, own)
     live = truncated(posted.where("sig = 'exact_name'"), cap).unionByName(within_caps(posted.where("sig <> 'exact_name'"), {}, cap))
     found = None
     for i, sig in enumerate(SIGNALS_CHAR):
@@ -133,11 +151,14 @@ def char_candidates(s1: DataFrame, targets: DataFrame, cap: int = KEEP) -> DataF
     return found.groupBy("s1_id", "target_id").agg(F.bit_or("bit").alias("mask")).withColumn("n_signals", F.bit_count("mask").cast("int"))
 
 
-def signature_keys(records: DataFrame) -> DataFrame:
+def signature_keys(records: DataFrame, how: str = "casefold") -> DataFrame:
     """entity_id, sig, key of the prefix-signature generator, scoped by country."""
-    name, addr = F.col("business_name"), F.col("business_address")
-    normal = text.normalize_name(name, suffixes=text.LEGAL_SUFFIXES_SIGNATURE)
-    rows = records.select("entity_id", text.country_fold(F.col("country")).alias("country"), F.explode(F.array_distinct(F.concat(tokens.name_signatures(normal, text.ascii_normalize(normal)), tokens.address_signatures(text.normalize_address(addr))))).alias("payload"))
+    normal = text.normalize_name(F.col("business_name"), how, suffixes=text.LEGAL_SUFFIXES_SIGNATURE)
+    address, country = text.normalize_address(F.col("business_address"), how), text.country_fold(F.col("country"), how)
+    rows = records.select("entity_id", country.alias("country"), normal.alias("name"), text.ascii_normalize(normal).alias("plain"), address.alias("addr"))
+    rows = rows.withColumn("nums", tokens.numbers(F.col("addr"))).withColumn("words", tokens.signature_words(F.col("addr")))
+    each = F.concat(tokens.name_signatures(F.col("name"), F.col("plain")), tokens.address_signatures(F.col("nums"), F.col("words")))
+    rows = rows.select("entity_id", "country", F.explode(F.array_distinct(each)).alias("payload"))
     return rows.select("entity_id", F.regexp_extract("payload", "^([A-Z_]+):", 1).alias("sig"), F.concat_ws("|", "country", "payload").alias("key"))
 
 

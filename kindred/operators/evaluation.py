@@ -108,13 +108,70 @@ def signal_recall(truth: DataFrame, pairs: DataFrame, signals: tuple[str, ...])
     return rows.select("r.signal", "r.recovered", "truths", F.round(ratio(F.col("recovered"), F.col("truths")), 9).alias("recall"))
 
 
-def agreement_recall(truth: DataFrame, pairs: DataFrame, least: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """Recall, and candidates left, if at least so many signals must agree."""
+def agreement_recall(truth: DataFrame, pairs: DataFrame, s1: DataFrame, least: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """If at least so many signals must agree: recall, candidates left, their mean by record, and by record without a match."""
     hit = truth.distinct().join(pairs.select(*PAIR, "n_signals"), PAIR, "left")
     found = hit.agg(F.count("*").alias("truths"), *[F.count_if(F.col("n_signals") >= n).alias(f"r{n}") for n in least])
-    left = pairs.agg(*[F.count_if(F.col("n_signals") >= n).alias(f"c{n}") for n in least])
-    rows = found.crossJoin(left).select("truths", F.explode(F.array(*[F.struct(F.lit(n).alias("least"), F.col(f"r{n}").alias("recovered"), F.col(f"c{n}").alias("candidates")) for n in least])).alias("r"))
-    return rows.select("r.least", "r.recovered", "r.candidates", "truths", F.round(ratio(F.col("recovered"), F.col("truths")), 9).alias("recall"))
+    counts = pairs.groupBy("s1_id").agg(*[F.count_if(F.col("n_signals") >= n).alias(f"c{n}") for n in least])
+    known = truth.select("s1_id").distinct().withColumn("matched", F.lit(True))
+    each = s1.select(F.col("entity_id").alias("s1_id")).join(counts, "s1_id", "left").join(known, "s1_id", "left")
+    n_left = lambda n: F.coalesce(f"c{n}", F.lit(0))
+    left = each.agg(*[F.sum(n_left(n)).alias(f"c{n}") for n in least], *[F.round(F.avg(n_left(n)), 9).alias(f"m{n}") for n in least], *[F.round(F.avg(F.when(F.col("matched").isNull(), n_left(n))), 9).alias(f"s{n}") for n in least])
+    names = {"recovered": "r", "candidates": "c", "mean_candidates": "m", "singleton_mean": "s"}
+    rows = found.crossJoin(left).select("truths", F.explode(F.array(*[F.struct(F.lit(n).alias("least"), *[F.col(f"{x}{n}").alias(k) for k, x in names.items()]) for n in least])).alias("r"))  # one row each
+    return rows.select("r.*", "truths", F.round(ratio(F.col("r.recovered"), F.col("truths")), 9).alias("recall"))
+
+
+def corrected_report(truth: DataFrame, pairs: DataFrame, s1: DataFrame, targets: DataFrame, expected: int | None = None) -> DataFrame:
+    """One row: true pairs of known primary records, recovered, missed, recall; pairs whose target is unknown; records with
+    candidates, and the distribution of their numbers; and the sanity checks (``expected`` is the known number of true pairs)."""
+    counts = candidate_counts(pairs)
+    stats = distribution(counts).select(F.col("count").alias("s1_with_candidates"), F.col("mean").alias("mean_candidates"), F.col("median").alias("median_candidates"), "p95", "p99", F.col("max").alias("most_candidates"))
+    sums = recall(truth, pairs, s1, targets).select("true_pairs", "recovered", F.col("full_recall").alias("recall"))
+    absent = not_indexed(truth.distinct(), targets).agg(F.count("*").alias("not_indexed"))
+    sizes = s1.agg(F.count("*").alias("s1_records")).crossJoin(pairs.agg(F.count("*").alias("candidate_rows")))
+    rows = sums.crossJoin(stats).crossJoin(absent).crossJoin(sizes)  # one row each
+    good = F.lit(None).cast("boolean") if expected is None else F.col("true_pairs") == expected
+    checks = [good.alias("as_many_as_expected"), (F.col("recovered") <= F.col("true_pairs")).alias("recovered_within_truth"), F.col("recall").between(0, 1).alias("recall_within_bounds")]
+    return rows.select("*", (F.col("true_pairs") - F.col("recovered")).alias("missed"), *checks)
+
+
+def vote_sweep(truth: DataFrame, votes: DataFrame, s1: DataFrame, ks: tuple[int, ...] = (10, 20, 50, 100), all_at: int = 50) -> DataFrame:
+    """For each cap and k the recall among the first k by (score, id), the ceiling without ranks, the share of records all of
+    whose matches are among the first ``all_at``, and the mean number of candidates. votes: cap, s1_id, target_id, score."""
+    from kindred.operators.ranking import top
+
+    ranked = top(votes, max(ks), F.col("score").desc(), F.col("target_id").desc(), by=("cap", "s1_id")).select("cap", *PAIR, "rank")
+    caps = votes.select("cap").distinct()
+    true = truth.distinct().crossJoin(F.broadcast(caps))  # a handful of caps
+    met = true.join(votes.select("cap", *PAIR, F.lit(1).alias("there")), ["cap", *PAIR], "left").join(ranked, ["cap", *PAIR], "left")
+    each = met.groupBy("cap", "s1_id").agg(F.count("*").alias("truths"), F.count("there").alias("found"), *[F.count_if(F.col("rank") <= k).alias(f"f{k}") for k in {*ks, all_at}])
+    sums = each.groupBy("cap").agg(F.sum("truths").alias("truths"), F.sum("found").alias("found"), F.count("*").alias("records"), F.count_if(F.col(f"f{all_at}") == F.col("truths")).alias("whole"), *[F.sum(f"f{k}").alias(f"f{k}") for k in ks])
+    sizes = votes.groupBy("cap").agg(F.count("*").alias("candidates")).crossJoin(s1.agg(F.count("*").alias("n_s1")))
+    rows = sums.join(sizes, "cap").select(
+        "cap", F.round(ratio(F.col("found"), F.col("truths")), 9).alias("ceiling"), F.round(ratio(F.col("whole"), F.col("records")), 9).alias("all_found_ratio"), F.round(ratio(F.col("candidates"), F.col("n_s1")), 9).alias("mean_candidates"),
+        "truths", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"f{k}").alias("recovered")) for k in ks])).alias("r"),
+    )
+    return rows.select("cap", "r.k", "ceiling", "all_found_ratio", "mean_candidates", "r.recovered", F.round(ratio(F.col("r.recovered"), F.col("truths")), 9).alias("recall"))
+
+
+def signal_sweep(truth: DataFrame, pairs: DataFrame, s1: DataFrame) -> DataFrame:
+    """Recall and mean candidates by record for each cap and signal, and for all together (``union``). pairs: cap, s1_id, target_id, sig."""
+    each = pairs.select("cap", "sig", *PAIR).unionByName(pairs.select("cap", F.lit("union").alias("sig"), *PAIR).distinct())
+    true = truth.distinct().withColumn("hit", F.lit(1))
+    sums = each.join(true, PAIR, "left").groupBy("cap", "sig").agg(F.count("*").alias("candidates"), F.count("hit").alias("recovered"))
+    totals = truth.distinct().agg(F.count("*").alias("truths")).crossJoin(s1.agg(F.count("*").alias("n_s1")))
+    rows = sums.crossJoin(F.broadcast(totals))  # one row
+    return rows.select("cap", F.col("sig").alias("signal"), "recovered", F.round(ratio(F.col("recovered"), F.col("truths")), 9).alias("recall"), F.round(ratio(F.col("candidates"), F.col("n_s1")), 9).alias("mean_candidates"))
+
+
+def setting_report(truth: DataFrame, pairs: DataFrame, s1: DataFrame) -> DataFrame:
+    """A18, A9 of one setting: recall, the share of records with a match that have all, and the distribution of candidates by record, zeros included; and its mean by record without a match."""
+    counts = candidate_counts(pairs, s1).join(truth.select("s1_id").distinct().withColumn("matched", F.lit(True)), "s1_id", "left")
+    alone = counts.agg(F.round(F.avg(F.when(F.col("matched").isNull(), F.col("n"))), 9).alias("singleton_mean"))
+    hits = per_record(truth, pairs).agg(F.sum("truths").alias("truths"), F.sum("found").alias("recovered"), F.count("*").alias("records"), F.count_if(F.expr("found = truths")).alias("whole"))
+    rows = distribution(counts).crossJoin(alone).crossJoin(hits)  # one row each
+    return rows.select(F.round(ratio(F.col("recovered"), F.col("truths")), 9).alias("recall"), F.round(ratio(F.col("whole"), F.col("records")), 9).alias("all_found_ratio"), "mean", "p95", "p99", "max", "singleton_mean")
 
 
 def recall_at(truth: DataFrame, ranked: DataFrame, ks: tuple[int, ...]) -> DataFrame:
@@ -126,6 +183,13 @@ def recall_at(truth: DataFrame, ranked: DataFrame, ks: tuple[int, ...]) -> DataF
     return rows.select("r.k", "r.recovered", "truths", "r.all_found", "records", F.round(ratio(F.col("recovered"), F.col("truths")), 9).alias("recall"), F.round(ratio(F.col("all_found"), F.col("records")), 9).alias("all_found_ratio"))
 
 
+def unranked_recall(truth: DataFrame, found: DataFrame, ks: tuple[int, ...] = (10, 25, 50, 100, 250, 500)) -> DataFrame:
+    """Without ranks every k has all true pairs that were found."""
+    sums = truth.agg(F.count("*").alias("truths")).crossJoin(recovered(truth, found).agg(F.count("*").alias("recovered")))  # one row each
+    each = sums.select(F.explode(F.lit(list(ks))).alias("k"), "recovered", "truths")
+    return each.withColumn("recall", F.round(ratio(F.col("recovered"), F.col("truths")), 9))
+
+
 def lift(truth: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
     """Recalls of two candidate sets, extra pairs and extra true pairs of the second, growth, and the verdict by the lift."""
     flag = lambda pairs, name: pairs.select(*PAIR).distinct().withColumn(name, F.lit(1))

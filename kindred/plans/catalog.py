@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import dataclasses
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from kindred.plans import proxy
 from kindred.plans.proxy import ORDERS, REC, TRUTH, split_sql, words_sql
 from kindred.session import shipped
 from kindred.sources import tables
+from kindred.sources.work import materialize
 
 LOWER = dataclasses.replace(keys.V4, how="lower", keyed="text", signals=("nx", "ns", "nc", "ua", "ng", "ap", "ar", "an", "pc", "ag", "ah"))
 PAIRS = ["s1_id", "target_id", "n_signals"]
@@ -58,16 +60,18 @@ NORM = f"""norm AS (
 ), tok AS (
   SELECT *, list_filter(aw, lambda w: (regexp_matches(w, '\\p{{Nd}}') OR length(w) >= 4) AND w NOT IN ({_GENERIC})) AS ats FROM base
 ), prep AS (
-  SELECT *, list_transform(list_sort(list_transform(list_distinct(ats), lambda w: lpad((1000 - length(w))::VARCHAR, 4, '0') || w)), lambda x: substr(x, 5)) AS strong FROM tok
+  SELECT *, list_transform(list_sort(list_transform(list_distinct(ats), lambda w: lpad((100000000 - length(w))::VARCHAR, 9, '0') || w)), lambda x: substr(x, 10)) AS strong,
+    list_filter(string_split(replace(name, ' ', ''), ''), lambda x: x <> '') AS name_chars, list_filter(string_split(replace(addr, ' ', ''), ''), lambda x: x <> '') AS addr_chars FROM tok
 )"""
 
 
-def grams_sql(s: str, n: int) -> str:
-    s = f"replace({s}, ' ', '')"
-    return f"CASE WHEN length({s}) > 0 THEN list_distinct(list_transform(generate_series(1, greatest(length({s}) - {n} + 1, 1)), lambda i: substr({s}, i, {n}))) ELSE [] END"
+def grams_sql(chars: str, n: int) -> str:
+    """The distinct n-grams of a list of characters; a shorter one is one gram."""
+    zipped = f"list_zip({', '.join([chars, *(f'{chars}[{i}:]' for i in range(2, n + 1))])}, true)"
+    return f"CASE WHEN len({chars}) >= {n} THEN list_distinct(list_transform({zipped}, lambda x: {' || '.join(f'x[{i}]' for i in range(1, n + 1))})) WHEN len({chars}) > 0 THEN [array_to_string({chars}, '')] ELSE [] END"
 
 
-GRAM_DF = f"""grams AS (SELECT entity_id, src, country, unnest({grams_sql("name", 3)}) AS gram FROM prep),
+GRAM_DF = f"""grams AS (SELECT entity_id, src, country, unnest({grams_sql("name_chars", 3)}) AS gram FROM prep),
 gram_df AS (SELECT country, gram, count(*) AS freq FROM grams WHERE src = 0 GROUP BY ALL),
 rare_grams AS (
   SELECT entity_id, country, gram, freq FROM (
@@ -94,7 +98,7 @@ PAYLOADS = {
     "ar": "strong[1:3]",
     "an": _CROSS.format(a="nums[1:3]", b="strong[1:3]"),
     "pc": "list_filter(aw, lambda w: regexp_full_match(w, '\\p{Nd}{4,6}'))",
-    "ag": f"CASE WHEN length(replace(addr, ' ', '')) >= 8 THEN list_sort({grams_sql('addr', 4)})[1:4] ELSE [] END",
+    "ag": f"CASE WHEN length(replace(addr, ' ', '')) >= 8 THEN list_sort({grams_sql('addr_chars', 4)})[1:4] ELSE [] END",
     "ah": _CROSS.format(a="nums[1:2]", b="strong[1:2]"),
 }
 
@@ -237,18 +241,18 @@ pkeys AS (SELECT entity_id, src, country || '|' || unnest(list_distinct(
   || list_transform(list_filter(w, lambda x: length(x) >= 4), lambda x: substr(x, 1, 4)) || list_transform(list_filter(w, lambda x: length(x) >= 5), lambda x: substr(x, 1, 5)))) AS key FROM pk)"""
 
 
-@query(f"""WITH {REC}, {_PREFIX}, full_ AS (SELECT key FROM pkeys WHERE src <> 0 AND key IN (SELECT key FROM pkeys WHERE src = 0) GROUP BY 1 HAVING count(*) <= 300)
-SELECT a.entity_id AS s1_id, b.entity_id AS target_id, count(*) AS votes FROM pkeys a JOIN pkeys b USING (key) JOIN full_ USING (key) WHERE a.src = 0 AND b.src <> 0 GROUP BY ALL""")
+@query(f"WITH {REC}, {_PREFIX} SELECT a.entity_id AS s1_id, b.entity_id AS target_id, count(*) AS votes FROM pkeys a JOIN pkeys b USING (key) WHERE a.src = 0 AND b.src <> 0 GROUP BY ALL")
 def block_prefix_keys(spark, sf_dir):
-    """X21, A3, A23, with keys of at most 300 postings; J8 whole is ``block_prefix_keys_all``."""
-    s1, targets = (blocking.prefix_block_keys(r) for r in proxy.sides(spark, sf_dir))
-    return blocking.votes(s1, blocking.within_caps(blocking.wanted(targets, s1), {}))
+    """Every pair that shares a prefix key, over-full keys dealt over parts."""
+    return blocking.all_votes(*(blocking.prefix_block_keys(r) for r in proxy.sides(spark, sf_dir)))
 
 
-@query()
-def block_prefix_keys_all(spark, sf_dir):
-    """Every pair that shares a prefix key."""
-    return blocking.all_votes(*(blocking.prefix_block_keys(r) for r in proxy.sides(spark, sf_dir)))
+@query(f"""WITH {REC}, {_PREFIX}, {TRUTH}, v AS (SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS target_id FROM pkeys a JOIN pkeys b USING (key) WHERE a.src = 0 AND b.src <> 0),
+h AS (SELECT (SELECT count(*) FROM truth) AS truths, (SELECT count(*) FROM truth JOIN v USING (s1_id, target_id)) AS recovered)
+SELECT k, recovered, truths, round(recovered / truths, 9) AS recall FROM h, (SELECT unnest([10, 25, 50, 100, 250, 500]) AS k)""")
+def unranked_recall(spark, sf_dir):
+    """Recall of the unranked prefix blocks, the same for every k."""
+    return evaluation.unranked_recall(proxy.truth(spark, sf_dir), blocking.shared_in_truth(proxy.truth(spark, sf_dir), *(blocking.prefix_block_keys(r) for r in proxy.sides(spark, sf_dir))))
 
 
 @query(f"""WITH {REC}, {_PREFIX}, b AS (SELECT key, count(*) AS n FROM pkeys WHERE src <> 0 GROUP BY 1)
@@ -267,25 +271,22 @@ def block_exact_address(spark, sf_dir):
     return blocking.exact_address(*proxy.sides(spark, sf_dir))
 
 
-@query(f"""WITH {REC}, e AS (SELECT entity_id, src, {words_sql("replace(business_name, '&', ' and ')")} AS a FROM rec), n AS (SELECT a FROM e WHERE src <> 0 GROUP BY 1 HAVING count(*) <= 50)
-SELECT x.entity_id AS s1_id, y.entity_id AS target_id FROM e x JOIN e y USING (a) JOIN n USING (a) WHERE x.src = 0 AND y.src <> 0 AND a <> ''""")
+@query(f"""WITH {REC}, e AS (SELECT entity_id, src, {words_sql("replace(business_name, '&', ' and ')")} AS a FROM rec)
+SELECT x.entity_id AS s1_id, y.entity_id AS target_id FROM e x JOIN e y USING (a) WHERE x.src = 0 AND y.src <> 0 AND a <> ''""")
 def block_name_any_country(spark, sf_dir):
-    """N14, J6, for names that at most 50 targets have; J6 whole is ``block_name_any_country_all``."""
-    s1, targets = proxy.sides(spark, sf_dir)
-    name = text.normalize_text(F.col("business_name"))
-    rare = targets.groupBy(name.alias("name")).agg(F.count("*").alias("n")).where("n <= 50")
-    return blocking.exact_name(s1, targets.withColumn("name", name).join(rare, "name", "left_semi"))
-
-
-@query()
-def block_name_any_country_all(spark, sf_dir):
-    """Every pair of one name."""
+    """Every pair of one name, names of many targets dealt over parts."""
     s1, targets = (r.select("entity_id", F.lit("na").alias("sig"), text.normalize_text(F.col("business_name")).alias("key")) for r in proxy.sides(spark, sf_dir))
     left, right = blocking.dealt(s1.where("key <> ''"), targets.where("key <> ''"))
     return left.withColumnRenamed("entity_id", "s1_id").join(right.withColumnRenamed("entity_id", "target_id"), ["sig", "key"]).select("s1_id", "target_id")
 
 
-@query()
+#: Letters without their marks, ASCII only, words of a-z and 0-9: N2 for the letters of Latin scripts.
+_PLAIN = "trim(regexp_replace(regexp_replace(lower(strip_accents(coalesce({c}, ''))), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+_TRAILING = f"regexp_replace({_PLAIN.format(c='business_name')}, '( ({'|'.join(text.TRAILING_PHRASES)}))+$', '')"
+
+
+@query(f"""WITH {REC}, e AS (SELECT entity_id, src, coalesce(country, '') AS country, {_TRAILING} AS a FROM rec)
+SELECT x.entity_id AS s1_id, y.entity_id AS target_id FROM e x JOIN e y USING (country, a) WHERE x.src = 0 AND y.src <> 0 AND a <> ''""")
 def block_exact_normalized(spark, sf_dir):
     """S2 and S3 joined apart, then united."""
     s1, targets = proxy.sides(spark, sf_dir)
@@ -298,10 +299,28 @@ def block_transliterated(spark, sf_dir):
     return blocking.transliterated_matches(*proxy.sides(spark, sf_dir))
 
 
-@query()
+_STOP = ", ".join(f"'{w}'" for w in tokens.ADDRESS_STOP)
+_SIGN_SUFFIXES = ", ".join(f"'{w}'" for w in text.LEGAL_SUFFIXES_SIGNATURE)
+_TWO = "least(substr({w}[1], 1, {n}), substr({w}[2], 1, {n})) || '|' || greatest(substr({w}[1], 1, {n}), substr({w}[2], 1, {n}))"
+_SIGNATURES = f"""sn AS (SELECT entity_id, src, trim(lower(coalesce(country, ''))) AS country, list_filter({split_sql(words_sql("business_name"))}, lambda w: w NOT IN ({_SIGN_SUFFIXES})) AS nt, {words_sql("business_address")} AS addr FROM rec),
+sp AS (SELECT *, {split_sql(_PLAIN.format(c="array_to_string(nt, ' ')"))} AS pt, regexp_extract_all(addr, '\\p{{Nd}}+[a-zA-Z]?') AS nums,
+  list_filter({split_sql("addr")}, lambda w: regexp_matches(w, '\\p{{Nd}}') OR (length(w) >= 4 AND w NOT IN ({_STOP}))) AS wt FROM sn),
+st AS (SELECT *, list_sort(list_transform(list_filter(nt, lambda w: length(w) >= 3), lambda w: substr(w, 1, 4)))[1:4] AS parts FROM sp),
+sk AS (SELECT entity_id, src, country, unnest(list_distinct(list_filter(
+  [CASE WHEN length(nt[1]) >= 3 THEN 'FIRST:' || substr(nt[1], 1, 5) END, CASE WHEN length(nt[-1]) >= 3 THEN 'LAST:' || substr(nt[-1], 1, 5) END, CASE WHEN len(nt) > 1 THEN 'PAIR:' || {_TWO.format(w="nt", n=4)} END,
+   CASE WHEN len(parts) > 0 THEN 'TOK:' || array_to_string(parts, '|') END, CASE WHEN len(pt) > 0 THEN 'ASCII_FIRST:' || substr(pt[1], 1, 5) END, CASE WHEN len(pt) > 1 THEN 'ASCII_PAIR:' || {_TWO.format(w="pt", n=4)} END,
+   CASE WHEN len(wt) > 0 THEN 'ADDR_FIRST:' || substr(wt[1], 1, 6) END, CASE WHEN len(wt) > 1 THEN 'ADDR_PAIR:' || {_TWO.format(w="wt", n=5)} END]
+  || list_transform(nums, lambda x: 'NUM:' || x) || list_transform(wt, lambda w: 'ADDR:' || substr(w, 1, 8)) || list_transform(list_filter(nums, lambda x: length(x) >= 5), lambda x: 'POST:' || x), lambda x: x IS NOT NULL))) AS payload FROM st),
+k AS (SELECT entity_id, src, country || '|' || payload AS key FROM sk)"""
+
+
+@query(f"""WITH {REC}, {_SIGNATURES}, s AS (SELECT entity_id, key FROM k WHERE src = 0), w AS (SELECT entity_id, key FROM k WHERE src <> 0 AND key IN (SELECT key FROM s)),
+cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY entity_id) AS place FROM w) WHERE place <= 300),
+v AS (SELECT s.entity_id AS s1_id, cut.entity_id AS target_id, count(*) AS votes FROM s JOIN cut USING (key) GROUP BY ALL)
+SELECT s1_id, target_id, votes, rank FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY votes DESC, target_id)::INT AS rank FROM v) WHERE rank <= 300""")
 def signature_votes(spark, sf_dir):
     """Postings cut at 300, the first 300 targets by shared signatures."""
-    s1, targets = (blocking.signature_keys(r) for r in proxy.sides(spark, sf_dir))
+    s1, targets = (materialize(blocking.signature_keys(r, "lower"), "signatures") for r in proxy.sides(spark, sf_dir))
     found = blocking.votes(s1, blocking.truncated(blocking.wanted(targets, s1)))
     return ranking.top(found, 300, F.col("votes").desc(), F.col("target_id")).select("s1_id", "target_id", "votes", F.col("rank").cast("int").alias("rank"))
 
@@ -313,7 +332,7 @@ def truncated_postings_votes(spark, sf_dir):
     """A4, A23, W2."""
     s1, targets = _prepared(spark, sf_dir)
     config = dataclasses.replace(LOWER, signals=SOME)
-    own = keys.primary_keys(s1, config)
+    own = materialize(keys.primary_keys(s1, config), "own-keys")
     found = blocking.votes(own, blocking.truncated(blocking.wanted(keys.target_keys(targets, config), own), 20))
     return ranking.top(found, 10, F.col("votes").desc(), F.col("target_id")).select("s1_id", "target_id", "votes", F.col("rank").cast("int").alias("rank"))
 
@@ -361,6 +380,7 @@ def idf_vote_topk(spark, sf_dir):
     """A24, W3."""
     mine, post = _postings(spark, sf_dir)
     n = proxy.sides(spark, sf_dir)[1].count()
+    mine, post = materialize(mine, "tokens"), materialize(post, "tokens")
     found = ranking.idf_votes(mine, post, n, 100).withColumn("score", F.round("score", 6))
     return ranking.top(found, 10, F.col("score").desc(), F.col("target_id").desc()).select("s1_id", "target_id", "score", F.col("rank").cast("int").alias("rank"))
 
@@ -372,8 +392,8 @@ def inverse_block_rank(spark, sf_dir):
     """A25, W4."""
     s1, targets = _prepared(spark, sf_dir)
     config = dataclasses.replace(LOWER, signals=SOME)
-    own = keys.primary_keys(s1, config)
-    found = ranking.inverse_block_votes(own, blocking.wanted(keys.target_keys(targets, config), own), SOME, 100).withColumn("score", F.round("score", 6))
+    own, posted = keys.primary_keys(s1, config), materialize(keys.target_keys(targets, config), "target-keys")
+    found = ranking.inverse_block_votes(own, posted, SOME, 100).withColumn("score", F.round("score", 6))
     return ranking.top(found, 20, F.col("n_signals").desc(), F.col("score").desc(), F.col("target_id")).select("s1_id", "target_id", "n_signals", "score", F.col("rank").cast("int").alias("rank"))
 
 
@@ -392,6 +412,11 @@ def _some(spark, sf_dir):
     return block_with(spark, sf_dir, *SOME)
 
 
+def _some_stored(spark, sf_dir):
+    """The pairs, written: for queries that read them more than once."""
+    return materialize(_some(spark, sf_dir), "pairs")
+
+
 @query(pairs_sql(REC, *SOME) + f""", {TRUTH}, r AS (SELECT (SELECT count(*) FROM truth) AS true_pairs, (SELECT count(*) FROM (SELECT DISTINCT * FROM truth)) AS indexed_pairs, (SELECT count(*) FROM truth JOIN pairs USING (s1_id, target_id)) AS recovered)
 SELECT *, round(recovered / true_pairs, 9) AS full_recall, round(recovered / indexed_pairs, 9) AS indexed_recall FROM r""")
 def recall_report(spark, sf_dir):
@@ -418,12 +443,84 @@ def signal_recall(spark, sf_dir):
     return evaluation.signal_recall(proxy.truth(spark, sf_dir), _some(spark, sf_dir), SOME)
 
 
-@query(pairs_sql(REC, *SOME) + f""", {TRUTH}, n AS (SELECT unnest([1, 2, 3]) AS least)
-SELECT least, (SELECT count(*) FROM truth JOIN pairs USING (s1_id, target_id) WHERE n_signals >= least) AS recovered, (SELECT count(*) FROM pairs WHERE n_signals >= least) AS candidates, (SELECT count(*) FROM truth) AS truths,
-  round((SELECT count(*) FROM truth JOIN pairs USING (s1_id, target_id) WHERE n_signals >= least) / (SELECT count(*) FROM truth), 9) AS recall FROM n""")
+@query(pairs_sql(REC, *SOME) + f""", {TRUTH}, n AS (SELECT unnest([1, 2, 3]) AS least),
+c AS (SELECT least, r.entity_id, count(p.s1_id) FILTER (p.n_signals >= least) AS c, r.entity_id IN (SELECT s1_id FROM truth) AS matched FROM n, rec r LEFT JOIN pairs p ON r.entity_id = p.s1_id WHERE r.src = 0 GROUP BY ALL),
+m AS (SELECT least, sum(c)::BIGINT AS candidates, round(avg(c), 9) AS mean_candidates, round(avg(c) FILTER (NOT matched), 9) AS singleton_mean FROM c GROUP BY 1)
+SELECT m.*, (SELECT count(*) FROM truth JOIN pairs USING (s1_id, target_id) WHERE n_signals >= m.least) AS recovered, (SELECT count(*) FROM truth) AS truths,
+  round((SELECT count(*) FROM truth JOIN pairs USING (s1_id, target_id) WHERE n_signals >= m.least) / (SELECT count(*) FROM truth), 9) AS recall FROM m""")
 def agreement_recall(spark, sf_dir):
     """R7, X27."""
-    return evaluation.agreement_recall(proxy.truth(spark, sf_dir), _some(spark, sf_dir))
+    return evaluation.agreement_recall(proxy.truth(spark, sf_dir), _some_stored(spark, sf_dir), proxy.sides(spark, sf_dir)[0])
+
+
+@query(pairs_sql(REC, *SOME) + f""", {TRUTH}, c AS (SELECT s1_id, count(*) AS n FROM pairs GROUP BY 1), t AS (SELECT (SELECT count(*) FROM truth) AS true_pairs, (SELECT count(*) FROM truth JOIN pairs USING (s1_id, target_id)) AS recovered)
+SELECT true_pairs, recovered, round(recovered / true_pairs, 9) AS recall, count(*) AS s1_with_candidates, round(avg(n), 9) AS mean_candidates, median(n) AS median_candidates, quantile_cont(n, 0.95) AS p95, quantile_cont(n, 0.99) AS p99, max(n) AS most_candidates,
+  (SELECT count(*) FROM truth WHERE target_id NOT IN (SELECT entity_id FROM rec WHERE src <> 0)) AS not_indexed, (SELECT count(*) FROM rec WHERE src = 0) AS s1_records, sum(n)::BIGINT AS candidate_rows, true_pairs - recovered AS missed,
+  NULL::BOOLEAN AS as_many_as_expected, recovered <= true_pairs AS recovered_within_truth, recovered / true_pairs BETWEEN 0 AND 1 AS recall_within_bounds FROM c, t GROUP BY ALL""")
+def corrected_report(spark, sf_dir):
+    """The whole report, with its sanity checks."""
+    return evaluation.corrected_report(proxy.truth(spark, sf_dir), _some_stored(spark, sf_dir), *proxy.sides(spark, sf_dir))
+
+
+def _own_tokens(spark, sf_dir):
+    """entity_id, country, tok of both sides, written."""
+    mine, post = _postings(spark, sf_dir)
+    country = proxy.records(spark, sf_dir).select("entity_id", F.coalesce("country", F.lit("")).alias("country"))
+    return (materialize(t.join(country, "entity_id"), "tokens") for t in (mine, post))
+
+
+@query(f"""WITH {REC}, {_ASCII}, {_TOKS}, {TRUTH}, caps AS (SELECT unnest([30, 100, 300, 1000, 3000]) AS cap), ks AS (SELECT unnest([10, 20, 50, 100]) AS k), n AS (SELECT count(*) AS n FROM rec WHERE src <> 0),
+c AS (SELECT entity_id, coalesce(country, '') AS country FROM rec),
+t AS (SELECT m.entity_id AS s1_id, p.entity_id AS target_id, df, ln(n / df) AS w FROM mine m JOIN df USING (tok) JOIN post p USING (tok) JOIN c a ON a.entity_id = m.entity_id JOIN c b ON b.entity_id = p.entity_id AND a.country = b.country, n WHERE df <= 3000),
+v AS (SELECT cap, s1_id, target_id, round(sum(w), 6) AS score FROM t, caps WHERE df <= cap GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY cap, s1_id ORDER BY score DESC, target_id DESC) AS rank FROM v),
+e AS (SELECT x.cap, tr.s1_id, count(*) AS truths, count(r.rank) AS found, count(*) FILTER (r.rank <= 10) AS f10, count(*) FILTER (r.rank <= 20) AS f20, count(*) FILTER (r.rank <= 50) AS f50, count(*) FILTER (r.rank <= 100) AS f100
+  FROM (SELECT DISTINCT * FROM truth) tr CROSS JOIN caps x LEFT JOIN r ON r.cap = x.cap AND r.s1_id = tr.s1_id AND r.target_id = tr.target_id GROUP BY ALL),
+g AS (SELECT cap, sum(truths) AS truths, sum(found) AS found, count(*) AS records, count(*) FILTER (f50 = truths) AS whole, unnest([10, 20, 50, 100]) AS k, unnest([sum(f10), sum(f20), sum(f50), sum(f100)])::BIGINT AS recovered FROM e GROUP BY cap)
+SELECT g.cap, k, round(found / truths, 9) AS ceiling, round(whole / records, 9) AS all_found_ratio, round((SELECT count(*) FROM v WHERE v.cap = g.cap) / (SELECT count(*) FROM rec WHERE src = 0), 9) AS mean_candidates, recovered, round(recovered / truths, 9) AS recall FROM g""")
+def vote_cap_sweep(spark, sf_dir):
+    """Recall at k under every cap on a token's records, within a country."""
+    s1, targets = proxy.sides(spark, sf_dir)
+    votes = materialize(ranking.capped_idf_votes(*_own_tokens(spark, sf_dir), targets.count()), "votes")
+    return evaluation.vote_sweep(proxy.truth(spark, sf_dir), votes, s1, ranking.VOTE_KS)
+
+
+@query(pairs_sql(REC, *SOME) + f""", {TRUTH}, caps AS (SELECT unnest([20, 100, 300]) AS cap), d AS (SELECT sig, key, count(*) AS df FROM w GROUP BY ALL),
+x AS (SELECT DISTINCT cap, s.entity_id AS s1_id, w.entity_id AS target_id, sig FROM s JOIN w USING (sig, key) JOIN d USING (sig, key), caps WHERE df <= cap),
+y AS (SELECT * FROM x UNION SELECT cap, s1_id, target_id, 'union' FROM x)
+SELECT cap, sig AS signal, count(t.s1_id) AS recovered, round(count(t.s1_id) / (SELECT count(*) FROM truth), 9) AS recall, round(count(*) / (SELECT count(*) FROM rec WHERE src = 0), 9) AS mean_candidates FROM y LEFT JOIN truth t USING (s1_id, target_id) GROUP BY 1, 2""")
+def signal_cap_sweep(spark, sf_dir):
+    """Recall and candidates of each signal, and of all, under every cap."""
+    s1, targets = _prepared(spark, sf_dir)
+    config = dataclasses.replace(LOWER, signals=SOME)
+    own, posted = keys.primary_keys(s1, config), materialize(keys.target_keys(targets, config), "target-keys")
+    pairs = materialize(ranking.capped_signal_pairs(own, posted), "capped-pairs")
+    return evaluation.signal_sweep(proxy.truth(spark, sf_dir), pairs, proxy.sides(spark, sf_dir)[0])
+
+
+@query(f"""WITH {REC}, {_ASCII}, {_TOKS}, {TRUTH}, settings AS (SELECT unnest([3, 5, 5, 8, 8, 8]) AS k, unnest([300, 1000, 1000, 3000, 3000, 3000]) AS cap, unnest([1, 1, 2, 1, 2, 3]) AS shared),
+r AS (SELECT * FROM (SELECT m.*, k, cap, shared, row_number() OVER (PARTITION BY k, cap, shared, m.entity_id ORDER BY df, tok) AS place FROM mine m JOIN df USING (tok), settings WHERE df <= cap) WHERE place <= k),
+v AS (SELECT k, cap, shared, r.entity_id AS s1_id, p.entity_id AS target_id FROM r JOIN post p USING (tok) GROUP BY ALL HAVING count(*) >= any_value(shared)),
+c AS (SELECT k, cap, shared, entity_id AS s1_id, (SELECT count(*) FROM v WHERE v.k = x.k AND v.cap = x.cap AND v.shared = x.shared AND v.s1_id = rec.entity_id) AS n, (SELECT count(*) FROM truth t WHERE t.s1_id = rec.entity_id) AS truths,
+  (SELECT count(*) FROM truth t JOIN v USING (s1_id, target_id) WHERE v.k = x.k AND v.cap = x.cap AND v.shared = x.shared AND t.s1_id = rec.entity_id) AS found FROM settings x, rec WHERE src = 0)
+SELECT k, cap, shared, round(sum(found) / sum(truths), 9) AS recall, round(count(*) FILTER (truths > 0 AND found = truths) / count(*) FILTER (truths > 0), 9) AS all_found_ratio, round(avg(n), 9) AS mean, quantile_cont(n, 0.95) AS p95, quantile_cont(n, 0.99) AS p99, max(n) AS max,
+  round(avg(n) FILTER (truths = 0), 9) AS singleton_mean FROM c GROUP BY 1, 2, 3""")
+def token_setting_sweep(spark, sf_dir):
+    """The report of each of the six settings."""
+    mine, post = (materialize(t, "tokens") for t in _postings(spark, sf_dir))
+    s1, truth = proxy.sides(spark, sf_dir)[0], proxy.truth(spark, sf_dir)
+    out = []
+    for k, cap, shared in ranking.TOKEN_SETTINGS:  # a handful
+        pairs = materialize(ranking.token_votes(mine, post, k, cap, shared), "votes")
+        out.append(evaluation.setting_report(truth, pairs, s1).select(F.lit(k).alias("k"), F.lit(cap).alias("cap"), F.lit(shared).alias("shared"), "*"))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query()
+def translit_lift(spark, sf_dir):
+    """R8 with the A/B generator: its keys with and without transliterated names."""
+    plain, spelled = (blocking.block(*proxy.sides(spark, sf_dir), config) for config in (keys.AB_PLAIN, keys.AB_SPELLED))
+    return evaluation.lift(proxy.truth(spark, sf_dir), plain, spelled)
 
 
 _RANKED = """, ranked AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY n_signals DESC, target_id) AS rank FROM pairs)"""
@@ -446,10 +543,10 @@ def record_recall(spark, sf_dir):
     return evaluation.record_recall(proxy.truth(spark, sf_dir), _some(spark, sf_dir))
 
 
-@query(pairs_sql(REC, "nx") + f", {TRUTH} SELECT s1_id, target_id FROM truth ANTI JOIN pairs USING (s1_id, target_id)")
+@query(pairs_sql(REC, "pc") + f", {TRUTH} SELECT s1_id, target_id FROM truth ANTI JOIN pairs USING (s1_id, target_id)")
 def missed_pairs(spark, sf_dir):
-    """J11, U4."""
-    return evaluation.missed(proxy.truth(spark, sf_dir), block_with(spark, sf_dir, "nx"))
+    """What long numbers alone don't find."""
+    return evaluation.missed(proxy.truth(spark, sf_dir), block_with(spark, sf_dir, "pc"))
 
 
 @query(f"WITH {REC}, {TRUTH} SELECT s1_id, target_id FROM truth WHERE target_id NOT IN (SELECT entity_id FROM rec WHERE src = 1)")
@@ -567,10 +664,10 @@ def match_rates(spark, sf_dir):
 
 @query()
 def sibling_reachable(spark, sf_dir):
-    """J19 for the true pairs that no name key finds."""
-    s1, targets = proxy.sides(spark, sf_dir)
+    """J19 for the true pairs that long numbers alone don't find."""
+    _, targets = proxy.sides(spark, sf_dir)
     truth = proxy.truth(spark, sf_dir)
-    return diagnosis.sibling_reachable(evaluation.missed(truth, block_with(spark, sf_dir, "nx")), truth, targets)
+    return diagnosis.sibling_reachable(evaluation.missed(truth, block_with(spark, sf_dir, "pc")), truth, targets)
 
 
 # --- training ----------------------------------------------------------------------------------
@@ -585,10 +682,18 @@ def training_pairs(spark, sf_dir):
     return training.training_pairs(_some(spark, sf_dir).select(*PAIRS), proxy.truth(spark, sf_dir)).drop("split")
 
 
+@query(pairs_sql(REC, *SOME) + f""", {TRUTH}, bad AS (SELECT s1_id, target_id, n_signals FROM pairs ANTI JOIN truth USING (s1_id, target_id))
+SELECT * FROM (SELECT DISTINCT s1_id, target_id, 0 AS n_signals, 1 AS label FROM truth QUALIFY row_number() OVER (ORDER BY md5(s1_id || ':' || target_id || ':42')) <= 100000)
+UNION ALL SELECT s1_id, target_id, n_signals, 0 FROM bad QUALIFY row_number() OVER (ORDER BY md5(s1_id || ':' || target_id || ':42')) <= 300000""")
+def early_training_sample(spark, sf_dir):
+    """M6 (without the split, whose CRC-32 DuckDB lacks)."""
+    return training.early_sample(_some(spark, sf_dir).select(*PAIRS), proxy.truth(spark, sf_dir)).drop("split")
+
+
 @query()
 def group_split(spark, sf_dir):
     """Rows of each split, and the leaked ids, of which there must be none."""
-    rows = training.training_pairs(_some(spark, sf_dir).select(*PAIRS), proxy.truth(spark, sf_dir))
+    rows = materialize(training.training_pairs(_some(spark, sf_dir).select(*PAIRS), proxy.truth(spark, sf_dir)), "training-pairs")
     return rows.groupBy("split", "label").agg(F.count("*").alias("n")).crossJoin(training.leaked(rows).agg(F.count("*").alias("leaked")))
 
 
@@ -635,7 +740,7 @@ def class_ratio(spark, sf_dir):
 
 def _model(spark, sf_dir, rounds=10):
     rows = training.training_pairs(_some(spark, sf_dir).select(*PAIRS), proxy.truth(spark, sf_dir))
-    held = features.features(rows, *proxy.sides(spark, sf_dir)).cache()
+    held = materialize(features.features(rows, *proxy.sides(spark, sf_dir)), "features")
     return training.train(held, rounds=rounds, depth=4), held
 
 

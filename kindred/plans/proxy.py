@@ -1,7 +1,8 @@
 """Entity records out of the documents table, in DataFrames and as the same view in SQL.
 
-Documents with an id divisible by three are the primary source; the first characters of the text are
-the name, the next ones the address, the language is the country. Equal texts are the truth.
+Documents with an id divisible by three are the primary source. A text's first sentence, as far as its
+line goes, is the name, all the rest of the text the address, the language the country; so whole
+texts are read, however long. Equal texts are the truth.
 """
 
 from __future__ import annotations
@@ -14,12 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The first sentence, or nothing; Java's and RE2's pattern.
+NAME = r"^([^.!?\n]*)"
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.col("doc_id") % 3
+    name = F.regexp_extract("text", NAME, 1)
     prefix = F.when(source == 0, "S1-").when(source == 1, "S2-").otherwise("S3-")
     return table(spark, sf_dir, "documents").select(
-        F.concat(prefix, F.col("doc_id").cast("string")).alias("entity_id"), source.cast("int").alias("src"), F.substring("text", 1, 40).alias("business_name"),
-        F.substring("text", 41, 80).alias("business_address"), F.col("lang").alias("country"), "text",
+        F.concat(prefix, F.col("doc_id").cast("string")).alias("entity_id"), source.cast("int").alias("src"), name.alias("business_name"),
+        F.substr("text", F.length(name) + 1).alias("business_address"), F.col("lang").alias("country"), "text",
     )
 
 
@@ -53,9 +59,9 @@ def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s1.select(F.col("entity_id").alias("s1_id")).join(grouped, "s1_id", "left").select(F.col("s1_id").alias("source1_entity_id"), F.coalesce("ids", F.lit("")).alias("matched_entity_ids"))
 
 
-REC = """rec AS (
+REC = f"""rec AS (
   SELECT concat(CASE doc_id % 3 WHEN 0 THEN 'S1-' WHEN 1 THEN 'S2-' ELSE 'S3-' END, doc_id) AS entity_id, (doc_id % 3)::INT AS src,
-    substr(text, 1, 40) AS business_name, substr(text, 41, 80) AS business_address, lang AS country, text FROM documents
+    regexp_extract(text, '{NAME}', 1) AS business_name, substr(text, length(regexp_extract(text, '{NAME}', 1)) + 1) AS business_address, lang AS country, text FROM documents
 )"""
 TRUTH = "truth AS (SELECT a.entity_id AS s1_id, b.entity_id AS target_id FROM rec a JOIN rec b ON a.text = b.text AND a.src = 0 AND b.src <> 0)"
 ORDERS = """rec AS (

@@ -221,7 +221,7 @@ def test_over_full_prefix_keys_keep_their_pairs(spark, tmp_path):
     from kindred.plans import catalog
 
     same = full_keys(spark, tmp_path)
-    found = {(r.s1_id, r.target_id): r.votes for r in catalog.queries()["block_prefix_keys_all"](spark, str(tmp_path)).collect()}
+    found = {(r.s1_id, r.target_id): r.votes for r in catalog.queries()["block_prefix_keys"](spark, str(tmp_path)).collect()}
     own = [blocking.prefix_block_keys(r) for r in catalog.proxy.sides(spark, str(tmp_path))]
     plain = {(r.s1_id, r.target_id): r.votes for r in blocking.votes(*own).collect()}
     assert same <= set(found) and found == plain
@@ -231,7 +231,7 @@ def test_names_of_many_targets_keep_their_pairs(spark, tmp_path):
     from kindred.plans import catalog
 
     same = full_keys(spark, tmp_path)
-    found = catalog.queries()["block_name_any_country_all"](spark, str(tmp_path)).collect()
+    found = catalog.queries()["block_name_any_country"](spark, str(tmp_path)).collect()
     assert len(found) == len(set(found)) == len(same) and {tuple(r) for r in found} == same
 
 
