@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.sources.tables import evened
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,7 +25,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.col("doc_id") % 3
     name = F.regexp_extract("text", NAME, 1)
     prefix = F.when(source == 0, "S1-").when(source == 1, "S2-").otherwise("S3-")
-    return table(spark, sf_dir, "documents").select(
+    return evened(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select(
         F.concat(prefix, F.col("doc_id").cast("string")).alias("entity_id"), source.cast("int").alias("src"), name.alias("business_name"),
         F.substr("text", F.length(name) + 1).alias("business_address"), F.col("lang").alias("country"), "text",
     )

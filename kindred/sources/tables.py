@@ -48,6 +48,15 @@ def read_parquet(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return rows.select(*columns) if columns else rows
 
 
+def evened(rows: DataFrame) -> DataFrame:
+    """A table of fewer splits than there are cores, dealt over all of them; any other as it is.
+
+    Splits are only that few where the files have a few megabytes together, so little is moved.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def sampled_scan(rows: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
     """SC7."""
     return rows.sample(fraction, seed)
