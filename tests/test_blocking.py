@@ -1,12 +1,16 @@
 """Blocking against a row-at-a-time restatement, and the laws of caps, ranks and recall."""
 
+import dataclasses
 import random
 import re
+import unicodedata
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from kindred.functions import text
 from kindred.operators import blocking, evaluation, keys, ranking
 from kindred.streaming import scoring
 
@@ -122,6 +126,68 @@ def test_generations_find_equal_records(spark, config):
     assert found.agg(F.max("n_signals")).first()[0] <= len(config.signals)
 
 
+def early_keys(row, generation, known=None):
+    """v1's and v3's keys with their repeats, as (signal, CRC-32 of the text that names it)."""
+    _, name, words, address, _, country = parts(row)
+    spelled = text.transliterated(name).lower().strip()
+    if generation == "v3" and name.isascii():
+        spelled = ""
+    elif generation == "v3":
+        spelled = " ".join(re.findall("[a-z0-9]+", spelled))
+    plain = re.findall("[a-z0-9]+", unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode().casefold())
+    cut = 5 if generation == "v3" else None
+    least = lambda found, n: [str(h) for h in sorted({zlib.crc32(g.encode()) for g in found})[:n]]
+    old = {w for w in GENERIC if w not in ("near", "opposite", "main", "north", "south", "east", "west")}
+    useful = [w for w in re.findall(r"\w+", address) if (any(c.isdigit() for c in w) or len(w) >= 4) and w not in old]
+    numbers, out = re.findall(r"\d+[a-zA-Z]?", address), []
+    if words:
+        out += [("nx", " ".join(words)), ("ns", " ".join(sorted(set(words))))]
+        if len("".join(words)) >= 6:
+            out.append(("nc", "".join(words)))
+    for sig, found in (("ua", words), ("aa", plain)):
+        if found and len(found[0]) >= 2:
+            out.append((sig, f"{found[0][:cut]}|{found[-1][:cut]}"))
+    if generation == "v3":
+        out += [("ng", h) for h in least(grams(name, 3), 8)] + [("nt", h) for h in least(grams(spelled, 3), 6)]
+        useful = [w for w in useful if len(w) >= 5 and (known is None or w in known)]
+        strong = sorted(set(useful), key=lambda w: (-len(w), w))[:5]
+        out += [("ap", f"{a}|{b}") for i, a in enumerate(strong) for b in strong[i + 1 :]]
+        out += [("an", f"{n}|{t}") for n in numbers[:3] for t in useful[:3]] + [("ah", f"{n}|{t}") for n in numbers[:2] for t in strong[:2]]
+        out += [("pc", p) for p in re.findall(r"\b\d{4,6}\b", address)]
+        if len(address.replace(" ", "")) >= 8:
+            out += [("ag", h) for h in least(grams(address, 4), 4)]
+    else:
+        clean = " ".join(w for w in re.findall(r"\w+", spelled) if w not in SUFFIXES)
+        out += [("ng", h) for h in least(grams(name, 4), 4)] + ([("nt", clean)] if clean else [])
+        useful = sorted({w for w in useful if known is None or w in known})[:4]
+        numbers = sorted({n for n in numbers if known is None or n in known})[:2]
+        out += [("ap", f"{a}|{b}") for i, a in enumerate(useful) for b in useful[i + 1 :]] + [("an", f"{n}|{t}") for n in numbers for t in useful]
+    return [(sig, zlib.crc32(f"{sig}|{country}|{payload}".encode())) for sig, payload in out]
+
+
+@pytest.mark.parametrize("generation", ["v1", "v3"])
+@pytest.mark.parametrize("cap", [3, 300])
+def test_early_generations(spark, generation, cap):
+    """Keys meet by hash, and a record's repeated keys fill a posting list."""
+    config = dataclasses.replace({"v1": keys.V1, "v3": keys.V3}[generation], caps=dict.fromkeys(keys.CAPS_4, cap))
+    s1, targets = record_tables(spark)
+    left, right = made(60, 1), made(120, 2)
+    words = [parts(r)[3] for r in left]
+    old = {w for w in GENERIC if w not in ("near", "opposite", "main", "north", "south", "east", "west")}
+    known = {w for a in words for w in re.findall(r"\w+", a) if (any(c.isdigit() for c in w) or len(w) >= 4) and w not in old} | {n for a in words for n in re.findall(r"\d+[a-zA-Z]?", a)}
+    postings, wanted = defaultdict(list), defaultdict(set)
+    for row in right:
+        for _, key in early_keys(row, generation, known):
+            postings[key].append(row[0])
+    for row in left:
+        for sig, key in early_keys(row, generation, known if generation == "v3" else None):
+            if len(postings.get(key, ())) <= cap:
+                for target in postings.get(key, ()):
+                    wanted[row[0], target].add(sig)
+    found = blocking.block(s1, targets, config).collect()
+    assert {(r.s1_id, r.target_id): r.n_signals for r in found} == {pair: len(x) for pair, x in wanted.items()}
+
+
 def plain_char_keys(row):
     _, name, address, country = row
     words = f" {' '.join(normal(name).split())} "
