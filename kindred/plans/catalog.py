@@ -209,10 +209,25 @@ def candidates_multi(spark, sf_dir):
     return blocking.block(*proxy.sides(spark, sf_dir), keys.MULTI).select(*PAIRS)
 
 
-@query()
+_WORDS_10 = ", ".join(f"'{w}'" for w in text.LEGAL_WORDS)
+_PHRASES_10 = "|".join(x.replace(" ", "  ") for x in text.LEGAL_PHRASES)
+_CHAR = f"""ch AS (SELECT entity_id, src, trim(lower(coalesce(country, ''))) AS country, {words_sql("business_address")} AS addr,
+  array_to_string(list_filter(string_split(regexp_replace(' ' || replace({words_sql("business_name")}, ' ', '  ') || ' ', ' ({_PHRASES_10}) ', ' ', 'g'), ' '), lambda w: w <> '' AND w NOT IN ({_WORDS_10})), ' ') AS name FROM rec),
+cc AS (SELECT *, CASE WHEN name <> '' THEN list_filter(string_split(' ' || name || ' ', ''), lambda x: x <> '') ELSE [] END AS chars FROM ch),
+k AS (SELECT DISTINCT entity_id, src, sig, country || '|' || payload AS key FROM (
+  SELECT entity_id, src, country, 'exact_name' AS sig, name AS payload FROM cc WHERE name <> '' UNION ALL SELECT entity_id, src, country, 'char_name', unnest({grams_sql("chars", 3)}) FROM cc
+  UNION ALL SELECT entity_id, src, country, 'addr_token', unnest(list_filter({split_sql("addr")}, lambda w: regexp_matches(w, '\\p{{Nd}}') OR length(w) >= 3)) FROM cc
+  UNION ALL SELECT entity_id, src, country, 'addr_number', unnest(regexp_extract_all(addr, '\\p{{Nd}}+[a-zA-Z]?')) FROM cc)),
+s AS (SELECT entity_id, sig, key FROM k WHERE src = 0), w AS (SELECT entity_id, sig, key FROM k WHERE src <> 0 AND (sig, key) IN (SELECT (sig, key) FROM s)),
+live AS (SELECT entity_id, sig, key FROM (SELECT *, row_number() OVER (PARTITION BY sig, key ORDER BY entity_id) AS place, count(*) OVER (PARTITION BY sig, key) AS n FROM w) WHERE CASE sig WHEN 'exact_name' THEN place ELSE n END <= 300),
+v AS (SELECT sig, s.entity_id AS s1_id, live.entity_id AS target_id, count(*) AS votes FROM s JOIN live USING (sig, key) GROUP BY ALL),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sig, s1_id ORDER BY votes DESC, target_id) AS place FROM v) WHERE sig NOT IN ('char_name', 'addr_token') OR place <= 300)"""
+
+
+@query(f"WITH {REC}, {_CHAR} SELECT s1_id, target_id, count(DISTINCT sig)::INT AS n_signals FROM kept GROUP BY ALL")
 def candidates_char(spark, sf_dir):
     """Names, grams, address words and numbers."""
-    return blocking.char_candidates(*proxy.sides(spark, sf_dir)).select(*PAIRS)
+    return blocking.char_candidates(*proxy.sides(spark, sf_dir), how="lower").select(*PAIRS)
 
 
 def _prepared(spark, sf_dir):
