@@ -113,10 +113,14 @@ def keys_sql(*signals: str) -> str:
             parts += [f"SELECT entity_id, src, 'ar' AS sig, country || '|' || unnest({PAYLOADS['ar']}) AS key FROM prep WHERE src <> 0", "SELECT entity_id, 0 AS src, 'ar', country || '|' || token FROM rare_tokens"]
         else:
             parts.append(f"SELECT entity_id, src, '{sig}' AS sig, country || '|' || unnest({PAYLOADS[sig]}) AS key FROM prep")
-    cap = " ".join(f"WHEN '{s}' THEN {c}" for s, c in keys.CAPS_4.items())
-    bit = " ".join(f"WHEN '{s}' THEN {1 << i}" for i, s in enumerate(s for s in LOWER.signals if s in signals))
-    return f"""k AS ({" UNION ".join(parts)}),
-s AS (SELECT entity_id, sig, key FROM k WHERE src = 0),
+    return f"k AS ({' UNION '.join(parts)}),\n" + joined_sql([s for s in LOWER.signals if s in signals], keys.CAPS_4)
+
+
+def joined_sql(signals: list[str], caps: dict[str, int]) -> str:
+    """CTE pairs: s1_id, target_id, mask, n_signals of the rows of k, within the caps; bits are in the signals' order."""
+    cap = " ".join(f"WHEN '{s}' THEN {c}" for s, c in caps.items())
+    bit = " ".join(f"WHEN '{s}' THEN {1 << i}" for i, s in enumerate(signals))
+    return f"""s AS (SELECT entity_id, sig, key FROM k WHERE src = 0),
 w AS (SELECT entity_id, sig, key FROM k WHERE src <> 0 AND (sig, key) IN (SELECT (sig, key) FROM s)),
 live AS (SELECT sig, key FROM w GROUP BY ALL HAVING count(*) <= CASE sig {cap} END),
 pairs AS (
@@ -204,8 +208,42 @@ def candidates_v1(spark, sf_dir):
     return blocking.block(*proxy.sides(spark, sf_dir), keys.V1).select(*PAIRS)
 
 
-@query()
+def _ascii_words_sql(text: str) -> str:
+    return f"regexp_extract_all(lower(regexp_replace(strip_accents(coalesce({text}, '')), '[^\\x00-\\x7F]', '', 'g')), '[a-z0-9]+')"
+
+
+_TWO = "flatten(list_transform({a}, lambda x, i: list_transform({a}[i + 1:], lambda y: x || '|' || y)))"
+_PAYLOADS_MULTI = {
+    "nx": "CASE WHEN len(names) > 0 THEN [array_to_string(names, ' ')] ELSE [] END",
+    "ns": "CASE WHEN len(names) > 0 THEN [array_to_string(list_sort(list_distinct(names)), ' ')] ELSE [] END",
+    "nc": "CASE WHEN length(array_to_string(names, '')) >= 6 THEN [array_to_string(names, '')] ELSE [] END",
+    "np": _TWO.format(a="nv"),
+    "ap": _TWO.format(a="av"),
+    "an": _CROSS.format(a="dv", b="av"),
+    "xn": _CROSS.format(a="nv", b="dv"),
+}
+_KEYS_MULTI = " UNION ".join(f"SELECT entity_id, src, '{sig}' AS sig, country || '|' || unnest({payload}) AS key FROM parts" for sig, payload in _PAYLOADS_MULTI.items())
+_MULTI = f"""words AS (
+  SELECT entity_id, src, trim(lower(coalesce(country, ''))) AS country, {_ascii_words_sql("business_address")} AS addrs,
+    list_filter({_ascii_words_sql(f"regexp_replace(business_name, '{text.TLD_CASED}', '', 'g')")}, lambda w: w NOT IN ({_SUFFIXES})) AS names FROM rec
+), known AS (
+  SELECT word FROM (SELECT DISTINCT entity_id, unnest(list_concat(names, addrs)) AS word FROM words WHERE src = 0) GROUP BY 1 HAVING count(*) <= {keys.VOCABULARY_MOST}
+), each AS (
+  SELECT entity_id, 'nv' AS part, unnest(list_filter(names, lambda w: length(w) >= 3)) AS word FROM words
+  UNION SELECT entity_id, 'av', unnest(list_filter(addrs, lambda w: regexp_full_match(w, '[a-z]{{4,}}'))) FROM words
+  UNION SELECT entity_id, 'dv', unnest(list_filter(addrs, lambda w: length(w) >= 2 AND regexp_matches(w, '[0-9]'))) FROM words
+), held AS (
+  SELECT entity_id, part, list(word ORDER BY word) AS ws FROM each SEMI JOIN known USING (word) GROUP BY ALL
+), parts AS (
+  SELECT words.*, coalesce(n.ws, [])[1:8] AS nv, coalesce(a.ws, [])[1:8] AS av, coalesce(d.ws, [])[1:4] AS dv FROM words
+  LEFT JOIN held n ON n.entity_id = words.entity_id AND n.part = 'nv' LEFT JOIN held a ON a.entity_id = words.entity_id AND a.part = 'av'
+  LEFT JOIN held d ON d.entity_id = words.entity_id AND d.part = 'dv'
+), k AS ({_KEYS_MULTI}), {joined_sql([*keys.SIGNALS_MULTI], keys.CAPS_MULTI)}"""
+
+
+@query(f"WITH {REC}, {_MULTI} SELECT s1_id, target_id, n_signals FROM pairs")
 def candidates_multi(spark, sf_dir):
+    """Names, and combinations of the words and numbers that the primary records' vocabulary has."""
     return blocking.block(*proxy.sides(spark, sf_dir), keys.MULTI).select(*PAIRS)
 
 
