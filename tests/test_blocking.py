@@ -219,6 +219,24 @@ def test_char_candidates(spark, cap):
     assert {(r.s1_id, r.target_id): r.n_signals for r in blocking.char_candidates(s1, targets, cap).collect()} == dict(wanted)
 
 
+SCHEMA = "entity_id string, business_name string, business_address string, country string"
+
+
+def test_transliterated_names_meet(spark):
+    s1 = spark.createDataFrame([("a", "Москва", "", "RU"), ("b", "Moskva", "", " ru"), ("c", "Тула", "", "RU"), ("d", None, "", "RU")], SCHEMA)
+    targets = spark.createDataFrame([("x", "МОСКВА", "", "RU"), ("y", "moskva LTD", "", "RU"), ("z", "Moskva", "", "US"), ("w", "", "", None)], SCHEMA)
+    found = {(r.s1_id, r.target_id, r.probe) for r in blocking.transliterated_matches(s1, targets).collect()}
+    assert found == {(s, t, "spelled") for s in "ab" for t in "xy"} | {("b", "x", "plain"), ("b", "y", "plain")}
+
+
+def test_lift_of_transliterated_keys(spark):
+    s1 = spark.createDataFrame([("a", "Москва", "", "RU"), ("b", "Delta", "", "US")], SCHEMA)
+    targets = spark.createDataFrame([("x", "Moskva", "", "RU"), ("y", "Delta", "", "US")], SCHEMA)
+    plain, spelled = (blocking.block(s1, targets, c) for c in (keys.AB_PLAIN, keys.AB_SPELLED))
+    row = evaluation.lift(spark.createDataFrame([("a", "x"), ("b", "y")], "s1_id string, target_id string"), plain, spelled).first()
+    assert (row.pairs_before, row.pairs_after, row.extra_true_pairs, row.lift, row.verdict) == (1, 2, 1, 0.5, "KEEP")
+
+
 def test_empty_tables(spark):
     s1, targets = record_tables(spark)
     assert not blocking.block(s1.limit(0), targets).count()

@@ -122,7 +122,7 @@ def checked(value):
     return value
 
 
-@pytest.mark.parametrize("name", ["block_exact_name", "block_prefix_keys", "capped_multi_signal_candidates", "idf_vote_topk", "signal_recall", "pair_features_set", "training_pairs", "threshold_sweep", "profile_nulls", "evenly_spaced"])
+@pytest.mark.parametrize("name", ["block_exact_name", "block_prefix_keys", "capped_multi_signal_candidates", "candidates_multi", "idf_vote_topk", "signal_recall", "pair_features_set", "training_pairs", "threshold_sweep", "profile_nulls", "evenly_spaced"])
 def test_queries_match_sql(spark, name):
     base = duckdb.connect()
     for table in ("documents", "orders", "labels"):
